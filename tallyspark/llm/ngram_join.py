@@ -9,9 +9,12 @@ band get the one-deletion neighbourhood is chosen by cost: rows to emit
 against pairs expected to meet by chance.  Candidates are verified exactly.
 
 Equal sets are one class from the start.  A bucket's members are compared
-with its first one; members that are connected by then need no comparison,
-the rest goes through further rounds until no bucket holds two classes, so
-groups of near copies cost a star and not all pairs, and no link is lost.
+with the most central one, whose segments most others share; members that are
+connected by then need no comparison.  After STARS such rounds all members
+still outside the centre's class are compared with the rest of their buckets,
+so groups of near copies cost a few stars and no link is lost.  A pair whose
+parity sketches differ in more cells than linked sets may have elements apart
+can't be a link and is left out before sets are joined.
 
 Defined results: words are runs other than ASCII white space, A-Z in lower
 case; text of fewer words than a shingle is one shingle; null or wordless
@@ -34,8 +37,10 @@ from .components import components
 
 #: Words whose hashes a worker keeps; the table starts anew when full.
 MAX_WORDS = 500_000
-#: Members of a bucket that a round compares with the others: one first, to gather near copies, then more.
-LEADERS = (1, 4, 16)
+#: Rounds in which a bucket's most central member meets the others, before all that are still apart meet.
+STARS = 3
+#: Cells of a sketch for each element that linked sets of a band may differ in.
+CELLS = 16
 #: A pair that meets by chance costs as much as so many emitted rows.
 PAIR_COST = 4.0
 
@@ -166,13 +171,28 @@ def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> Dat
     return docs.mapInArrow(run, "sig long, id long, n int, own boolean")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def sketch(s: np.ndarray, band: Band) -> np.ndarray:
+    """Parities of the elements in each of some cells.  Cells whose parities differ bound the elements that differ from below."""
+    cells = 64 * max(1, -(-CELLS * band.differ // 64))
+    odd = np.bincount((mix(s + _M(0x3C6EF372FE94F82B)) % _M(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sets(docs: DataFrame, bands: list[Band], width: int) -> DataFrame:
+    """(id, s, here, next): a document's set, and its sketches in its own band and in the one after."""
+    edges = np.array([b.low for b in bands])
+
     def run(batches):
         for batch in batches:
-            sets = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            cols = [[], [], []]
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, width)
+                k = max(0, int(np.searchsorted(edges, len(s), "right")) - 1)
+                for col, v in zip(cols, (s.view(np.int64), sketch(s, bands[k]), sketch(s, bands[min(k + 1, len(bands) - 1)]))):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["id", "s", "here", "next"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(run, "id long, s array<long>, here array<long>, next array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,38 +230,47 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
     })
     buckets, buckets_at = written(met.where("led AND (before IS NOT NULL OR after IS NOT NULL)").select("sig", "id", "n", "own"), "buckets")
     members = buckets.select("id").distinct()
-    sets, sets_at = written(_sets(base.join(members, "id", "left_semi"), width), "members")
+    sets, sets_at = written(_sets(base.join(members, "id", "left_semi"), bands, width), "members")
+
+    # the member whose segments most others share stands at the centre of near copies
+    central = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("met")), "sig").groupBy("id").agg(F.sum("met").alias("score"))
+    ranked, old = buckets.join(central, "id").join(sets.select("id", "here", "next"), "id"), buckets_at
+    ranked = ranked.withColumn("sketch", F.when(F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("here", "next")
+    buckets, buckets_at = written(ranked, "buckets")
+    removed(spark, old)
+    order = Window.partitionBy("sig").orderBy(F.col("own").desc(), F.col("score").desc(), "id")
 
-    links, links_at, found, found_at, turn = None, [], None, None, 0
+    links, found, found_at, turn = None, None, None, 0
     while True:
-        if found is None:
-            current = buckets.withColumn("c", F.col("id"))
+        last = turn >= STARS
+        current = buckets.withColumn("c", F.col("id")) if found is None else buckets.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        open_sigs = current.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any_own")).where("lo <> hi AND any_own").select("sig")
+        current = current.join(open_sigs, "sig", "left_semi")
+        if last:  # whoever isn't of the centre's component meets all the others
+            step, step_at = written(current.withColumn("r", F.lit(0)).withColumn("main", F.first("c").over(order)), "round")
+            lead = step.where("c <> main")
         else:
-            current = buckets.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            open_sigs = current.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any_own")).where("lo <> hi AND any_own").select("sig")
-            current = current.join(open_sigs, "sig", "left_semi")
-        k = LEADERS[min(turn, len(LEADERS) - 1)]
-        ranked = current.withColumn("r", F.row_number().over(by_sig))
-        step, step_at = written(ranked.select("sig", "id", "n", "own", "c", "r"), "round")
-        lead = step.where((F.col("r") <= k)).select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-        pairs = lead.join(step.where("r > 1"), "sig").where(
-            (F.col("r") > F.col("ra"))
-            & (F.col("c") != F.col("ca"))
+            step, step_at = written(current.withColumn("r", F.row_number().over(order)), "round")
+            lead = step.where("r = 1")
+        lead = lead.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
+        apart = F.aggregate(F.zip_with("sketch", "sa", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        pairs = lead.join(step, "sig").where(
+            (F.col("c") != F.col("ca"))
             & (F.col("own") | F.col("oa"))
             & (F.greatest("n", "na") * percent <= F.least("n", "na") * 100)
+            & (apart * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent))
         )
         pairs, pairs_at = written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-        new, new_at = written(_linked(pairs, sets, percent), "links")
-        links_at.append(new_at)
+        new, _ = written(_linked(pairs, sets, percent), "links")
         links = new if links is None else links.unionAll(new)
-        old_found = found_at
+        old_found, old = found_at, buckets_at
         found, found_at = components(links)
-        # the leaders have met all others
-        buckets, old = step.where(F.col("r") > k).select("sig", "id", "n", "own"), buckets_at
-        buckets, buckets_at = written(buckets, "buckets")
-        removed(spark, pairs_at, old, step_at, *([old_found] if old_found else []))
+        if not last:  # the leaders have met all others
+            buckets, buckets_at = written(step.where("r > 1").select("sig", "id", "n", "own", "score", "sketch"), "buckets")
+            removed(spark, old)
+        removed(spark, pairs_at, step_at, *([old_found] if old_found else []))
         turn += 1
-        if buckets.isEmpty():
+        if last or buckets.isEmpty():
             break
     removed(spark, sets_at, buckets_at)
 
