@@ -10,6 +10,7 @@ bytes the first document.  All stretches are streamed through the index
 together, one LF step a byte; a stretch's matching statistics give, for each
 window, the least document that holds it.
 
+A group of one stretch needs no index: its windows are its owners' alone.
 Groups with more than CROWDED different stretches would make one task large;
 there each window is dealt by itself and grouped by its bytes' hash.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import removed, small_batches, written
 
 LENGTH = 50
-KMER = 16
+KMER = 24
 #: Different stretches of a group from which its windows are dealt one by one.
 CROWDED = 20_000
 #: Bytes of stretches indexed together.
@@ -304,8 +305,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
 
     distinct = stretches.groupBy("h", "s").agg(F.min("doc").alias("d"), F.first("data").alias("data"))
     distinct, distinct_at = written(distinct.withColumn("n", F.count("*").over(Window.partitionBy("h"))), "distinct", "zstd")
-    grouped = distinct.where(F.col("n") <= CROWDED).repartition("h").sortWithinPartitions("h")
-    found = _indexed(grouped).unionByName(_dealt(distinct.where(F.col("n") > CROWDED)))
+    grouped = distinct.where(F.col("n").between(2, CROWDED)).repartition("h").sortWithinPartitions("h")
+    last = (F.length("data") - LENGTH).cast("int")
+    alone = distinct.where("n = 1").select("h", "s", F.array("d").alias("docs"), F.array(F.lit(0)).alias("first"), F.array(last).alias("last"))
+    found = _indexed(grouped).unionByName(_dealt(distinct.where(F.col("n") > CROWDED))).unionByName(alone)
     placed = stretches.select("h", "s", "doc", "start").join(found, ["h", "s"])
     parts = F.filter(F.arrays_zip("docs", "first", "last"), lambda x: x["docs"] < F.col("doc"))
     hits = placed.select("doc", "start", F.explode(parts).alias("x"))
