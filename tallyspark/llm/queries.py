@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_fst, chat_format, fingerprints, language_id, ngram_join, packing, quality_pu, quality_rules, suffix_dedup, token_binary
 from .common import table
 
-try:
-    import public_tokenizers as _vocabularies
-
-    _PATTERN, _path = _vocabularies.PATTERN, _vocabularies.path
-except ModuleNotFoundError:  # the folder alone
-    _PATTERN, _path = packing.BYTE_LEVEL, lambda name: f"/opt/tokenizers/{name}"
+_PATTERN, _path = public_tokenizers.PATTERN, public_tokenizers.path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
