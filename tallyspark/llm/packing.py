@@ -16,8 +16,8 @@ times 2**33, so a task that is run again gives the same ones.
 
 from __future__ import annotations
 
-import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .units import SpacedUnits
 
 CAPACITY = 2048
 #: Largest part of a class's slot that a piece may leave empty, as 1 / TOLERANCE.
@@ -33,51 +34,19 @@ TOLERANCE = 64
 END_ID = 1
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Fixed value: the pre-split of byte-level tokenizers.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict = {}
 
 
-def byte_encoder(path: str):
-    """The worker's encoder (text -> little-endian 32-bit ids) for a byte-level tokenizer file of the tokenizers library.
-
-    The file's vocabulary numbers merges in their order, so ids are ranks and
-    the faster library for ranks gives the same ids; other files go through
-    the tokenizers library.
-    """
+def byte_encoder(path: str) -> SpacedUnits:
+    """The worker's encoder (text -> little-endian 32-bit ids) for a byte-level tokenizer file of the tokenizers library."""
     if path not in _encoders:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        ranks = _as_ranks(spec)
-        if ranks:
-            import tiktoken
-
-            encoding = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes()
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            _encoders[path] = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return _encoders[path]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-
-def _as_ranks(spec: dict) -> dict[bytes, int] | None:
-    """Token bytes to ids, if the file is plain byte-level BPE whose ids follow its merges."""
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-    if not plain or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout"):
-        return None
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
-    byte = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    added = {t["content"] for t in spec.get("added_tokens", [])}
-    ids = model["vocab"]
-    order = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if order != sorted(order):
-        return None
-    return {bytes(byte[c] for c in token): i for token, i in ids.items() if token not in added}
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        _encoders[path] = SpacedUnits(lambda units: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+    return _encoders[path]
 
 
 class Bins:
