@@ -41,6 +41,8 @@ MAX_WORDS = 500_000
 STARS = 3
 #: Cells of a sketch for each element that linked sets of a band may differ in.
 CELLS = 16
+#: Words of a sketch at most: a row for each signature carries one, so sets whose sketch would be longer go without and are only compared exactly.
+MAX_SKETCH = 64
 #: A pair that meets by chance costs as much as so many emitted rows.
 PAIR_COST = 4.0
 
@@ -174,6 +176,8 @@ def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> Dat
 def sketch(s: np.ndarray, band: Band) -> np.ndarray:
     """Parities of the elements in each of some cells.  Cells whose parities differ bound the elements that differ from below."""
     cells = 64 * max(1, -(-CELLS * band.differ // 64))
+    if cells > 64 * MAX_SKETCH:
+        return np.empty(0, np.int64)
     odd = np.bincount((mix(s + _M(0x3C6EF372FE94F82B)) % _M(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -252,6 +256,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
         else:
             step, step_at = written(current.withColumn("r", F.row_number().over(order)), "round")
             lead = step.where("r = 1")
+        removed(spark, buckets_at)  # the round's table holds its rows
         lead = lead.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
         apart = F.aggregate(F.zip_with("sketch", "sa", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         pairs = lead.join(step, "sig").where(
@@ -263,16 +268,15 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
         pairs, pairs_at = written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
         new, _ = written(_linked(pairs, sets, percent), "links")
         links = new if links is None else links.unionAll(new)
-        old_found, old = found_at, buckets_at
+        old_found = found_at
         found, found_at = components(links)
         if not last:  # the leaders have met all others
             buckets, buckets_at = written(step.where("r > 1").select("sig", "id", "n", "own", "score", "sketch"), "buckets")
-            removed(spark, old)
         removed(spark, pairs_at, step_at, *([old_found] if old_found else []))
         turn += 1
         if last or buckets.isEmpty():
             break
-    removed(spark, sets_at, buckets_at)
+    removed(spark, sets_at)
 
     comp = classes.select("n", "a", "b", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
     out = keyed.join(comp, ["n", "a", "b"], "left")
