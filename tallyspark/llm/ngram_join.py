@@ -14,7 +14,8 @@ connected by then need no comparison.  After STARS such rounds all members
 still outside the centre's class are compared with the rest of their buckets,
 so groups of near copies cost a few stars and no link is lost.  A pair whose
 parity sketches differ in more cells than linked sets may have elements apart
-can't be a link and is left out before sets are joined.
+can't be a link and is left out.  Only the documents of pairs that are left
+have their sets made again, to be joined and compared exactly.
 
 Defined results: words are runs other than ASCII white space, A-Z in lower
 case; text of fewer words than a shingle is one shingle; null or wordless
@@ -40,10 +41,10 @@ MAX_WORDS = 500_000
 #: Rounds in which a bucket's most central member meets the others, before all that are still apart meet.
 STARS = 3
 #: Cells of a sketch for each element that linked sets of a band may differ in.
-CELLS = 16
-#: Words of a sketch at most: a row for each signature carries one, so sets whose sketch would be longer go without and are only compared exactly.
+CELLS = 4
+#: Words of a sketch at most, as a row for each signature that meets another carries one.  Cells that more elements share still bound a difference from below.
 MAX_SKETCH = 64
-#: A pair that meets by chance costs as much as so many emitted rows.
+#: A pair that meets by chance costs as much as so many emitted rows, and as its sets' elements where a full sketch can't tell it from a link.
 PAIR_COST = 4.0
 
 _M = np.uint64
@@ -83,28 +84,31 @@ class Band:
         #: Most elements that two linked sets, the larger of this band, differ in.
         self.differ = 2 * high * (100 - percent) // (100 + percent)
         self.m, self.m1 = self.differ + 1, 0
+        self.cells = 64 * min(MAX_SKETCH, max(1, -(-CELLS * self.differ // 64)))
 
     def allocate(self, n_sets: int) -> None:
         """The cheapest m1: every such segment saves a plain one, as it stands a difference more."""
         best = None
+        pair_cost = PAIR_COST + (self.high if 4 * self.differ > self.cells else 0)
         for m1 in range((self.differ + 1) // 2 + 1):
             m = self.differ + 1 - m1
             size = self.high / m
             rows = n_sets * ((m - m1) + m1 * (1 + size))
             chance = n_sets**2 / 2 * (m - m1) * math.exp(-2 * size)  # both sets leave a segment empty
             chance += n_sets**2 / 2 * m1 * (1 + 2 * size) * math.exp(-2 * size)
-            cost = rows + PAIR_COST * chance
+            cost = rows + pair_cost * chance
             if best is None or cost < best:
                 best, self.m, self.m1 = cost, m, m1
 
 
 def bands_for(sizes: dict[int, int], largest: int, percent: int) -> list[Band]:
-    """Bands up to the largest size; sizes: sets by band number."""
+    """Bands up to the largest size; sizes: sets by band number, for which segments are allocated."""
     out, low = [], 1
     while low <= largest:
         high = low * 100 // percent
         band = Band(len(out), low, high, percent)
-        band.allocate(sizes.get(len(out), 0) or 1)
+        if sizes:
+            band.allocate(sizes.get(len(out), 0) or 1)
         out.append(band)
         low = high + 1
     return out
@@ -128,20 +132,31 @@ def signatures(s: np.ndarray, band: Band) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame, width: int) -> DataFrame:
-    """id, n and two hashes of each document's set."""
+def sketch(s: np.ndarray, band: Band) -> np.ndarray:
+    """Parities of the elements in each of some cells.  Cells whose parities differ bound the elements that differ from below."""
+    odd = np.bincount((mix(s + _M(0x3C6EF372FE94F82B)) % _M(band.cells)).astype(np.int64), minlength=band.cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, n, two hashes of each document's set, and its sketches in its own band and in the one after."""
 
     def run(batches):
+        bands = bands_for({}, 1000, percent)
         for batch in batches:
-            n, a, b = [], [], []
+            cols = [[] for _ in range(5)]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
-                n.append(len(s))
-                a.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                b.append(int(mix(s + _M(77)).sum(dtype=np.uint64).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "n", "a", "b"])
+                if bands[-2].high < len(s):
+                    bands = bands_for({}, 2 * len(s), percent)
+                k = next(i for i, band in enumerate(bands) if len(s) <= band.high)
+                hashes = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (s, mix(s + _M(77))))
+                for col, v in zip(cols, (len(s), *hashes, sketch(s, bands[k]), sketch(s, bands[k + 1]))):
+                    col.append(v)
+            kinds = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n", "a", "b", "here", "next"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long")
+    return docs.mapInArrow(run, "id long, n long, a long, b long, here array<long>, next array<long>")
 
 
 def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> DataFrame:
@@ -173,38 +188,27 @@ def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> Dat
     return docs.mapInArrow(run, "sig long, id long, n int, own boolean")
 
 
-def sketch(s: np.ndarray, band: Band) -> np.ndarray:
-    """Parities of the elements in each of some cells.  Cells whose parities differ bound the elements that differ from below."""
-    cells = 64 * max(1, -(-CELLS * band.differ // 64))
-    if cells > 64 * MAX_SKETCH:
-        return np.empty(0, np.int64)
-    odd = np.bincount((mix(s + _M(0x3C6EF372FE94F82B)) % _M(cells)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sets(docs: DataFrame, bands: list[Band], width: int) -> DataFrame:
-    """(id, s, here, next): a document's set, and its sketches in its own band and in the one after."""
-    edges = np.array([b.low for b in bands])
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, s): a document's set."""
 
     def run(batches):
         for batch in batches:
-            cols = [[], [], []]
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, width)
-                k = max(0, int(np.searchsorted(edges, len(s), "right")) - 1)
-                for col, v in zip(cols, (s.view(np.int64), sketch(s, bands[k]), sketch(s, bands[min(k + 1, len(bands) - 1)]))):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["id", "s", "here", "next"])
+            found = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>, here array<long>, next array<long>")
+    return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _linked(pairs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents in base (id, text) whose sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    sets, sets_at = written(_sets(base.join(ids, "id", "left_semi"), width), "members")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
+    links, _ = written(both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b"), "links")
+    removed(base.sparkSession, sets_at)
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +216,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    keyed, keyed_at = written(_keyed(base, width), "sets")
+    keyed, keyed_at = written(_keyed(base, width, percent), "sets")
     whole = keyed.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
     classes, classes_at = written(whole, "classes")
 
@@ -233,12 +237,11 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
         "led": F.first("own").over(by_sig),
     })
     buckets, buckets_at = written(met.where("led AND (before IS NOT NULL OR after IS NOT NULL)").select("sig", "id", "n", "own"), "buckets")
-    members = buckets.select("id").distinct()
-    sets, sets_at = written(_sets(base.join(members, "id", "left_semi"), bands, width), "members")
 
     # the member whose segments most others share stands at the centre of near copies
+    sketches = keyed.where("n > 0 AND id IS NOT NULL").select("id", F.col("n").cast("int").alias("n"), "here", "next").distinct()
     central = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("met")), "sig").groupBy("id").agg(F.sum("met").alias("score"))
-    ranked, old = buckets.join(central, "id").join(sets.select("id", "here", "next"), "id"), buckets_at
+    ranked, old = buckets.join(central, "id").join(sketches, ["id", "n"]), buckets_at
     ranked = ranked.withColumn("sketch", F.when(F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("here", "next")
     buckets, buckets_at = written(ranked, "buckets")
     removed(spark, old)
@@ -266,7 +269,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
             & (apart * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent))
         )
         pairs, pairs_at = written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-        new, _ = written(_linked(pairs, sets, percent), "links")
+        new = _linked(pairs, base, width, percent)
         links = new if links is None else links.unionAll(new)
         old_found = found_at
         found, found_at = components(links)
@@ -276,7 +279,6 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
         turn += 1
         if last or buckets.isEmpty():
             break
-    removed(spark, sets_at)
 
     comp = classes.select("n", "a", "b", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
     out = keyed.join(comp, ["n", "a", "b"], "left")
