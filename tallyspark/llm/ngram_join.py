@@ -245,36 +245,43 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, k
     ranked = ranked.withColumn("sketch", F.when(F.col("own"), F.col("here")).otherwise(F.col("next"))).drop("here", "next")
     buckets, buckets_at = written(ranked, "buckets")
     removed(spark, old)
-    order = Window.partitionBy("sig").orderBy(F.col("own").desc(), F.col("score").desc(), "id")
+    # a bucket's most central member; ~id ranks the least id first
+    head = F.max(F.struct("own", "score", F.bitwise_not("id").alias("rank"), "n", "c", "sketch"))
+
+    def meets(side: str):
+        """Whether a row may be linked with the member whose columns have the suffix, and isn't yet."""
+        n, own, c, cells = (F.col(f"{x}_{side}") for x in ("n", "own", "c", "sketch"))
+        apart = F.aggregate(F.zip_with("sketch", cells, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return (
+            (F.col("c") != c)
+            & (F.col("own") | own)
+            & (F.greatest("n", n) * percent <= F.least("n", n) * 100)
+            & (apart * (100 + percent) <= (F.col("n") + n) * (100 - percent))
+        )
 
     links, found, found_at, turn = None, None, None, 0
     while True:
         last = turn >= STARS
         current = buckets.withColumn("c", F.col("id")) if found is None else buckets.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_sigs = current.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any_own")).where("lo <> hi AND any_own").select("sig")
-        current = current.join(open_sigs, "sig", "left_semi")
+        heads = current.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head.alias("h")).where("lo <> hi AND h.own")
+        heads = heads.select("sig", F.bitwise_not("h.rank").alias("id_h"), *(F.col(f"h.{x}").alias(f"{x}_h") for x in ("n", "own", "c", "sketch")))
+        met = current.join(heads, "sig")
         if last:  # whoever isn't of the centre's component meets all the others
-            step, step_at = written(current.withColumn("r", F.lit(0)).withColumn("main", F.first("c").over(order)), "round")
-            lead = step.where("c <> main")
+            step, step_at = written(met.select(*current.columns, "c_h"), "round")
+            apart = step.where("c <> c_h").select("sig", *(F.col(x).alias(f"{x}_o") for x in ("id", "n", "own", "c", "sketch")))
+            pairs, other = step.join(apart, "sig").where(meets("o")), "id_o"
         else:
-            step, step_at = written(current.withColumn("r", F.row_number().over(order)), "round")
-            lead = step.where("r = 1")
+            centre = F.expr("id = id_h AND n = n_h AND sketch = sketch_h")
+            step, step_at = written(met.select(*buckets.columns, "id_h", centre.alias("centre"), meets("h").alias("meets")), "round")
+            pairs, other = step.where("meets"), "id_h"
         removed(spark, buckets_at)  # the round's table holds its rows
-        lead = lead.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-        apart = F.aggregate(F.zip_with("sketch", "sa", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        pairs = lead.join(step, "sig").where(
-            (F.col("c") != F.col("ca"))
-            & (F.col("own") | F.col("oa"))
-            & (F.greatest("n", "na") * percent <= F.least("n", "na") * 100)
-            & (apart * (100 + percent) <= (F.col("n") + F.col("na")) * (100 - percent))
-        )
-        pairs, pairs_at = written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+        pairs, pairs_at = written(pairs.select(F.least(other, "id").alias("a"), F.greatest(other, "id").alias("b")).distinct(), "pairs")
         new = _linked(pairs, base, width, percent)
         links = new if links is None else links.unionAll(new)
         old_found = found_at
         found, found_at = components(links)
         if not last:  # the leaders have met all others
-            buckets, buckets_at = written(step.where("r > 1").select("sig", "id", "n", "own", "score", "sketch"), "buckets")
+            buckets, buckets_at = written(step.where("NOT centre").select(*buckets.columns), "buckets")
         removed(spark, pairs_at, step_at, *([old_found] if old_found else []))
         turn += 1
         if last or buckets.isEmpty():
