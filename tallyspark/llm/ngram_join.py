@@ -41,9 +41,9 @@ MAX_WORDS = 500_000
 #: Rounds in which a bucket's most central member meets the others, before all that are still apart meet.
 STARS = 3
 #: Cells of a sketch for each element that linked sets of a band may differ in.
-CELLS = 4
-#: Words of a sketch at most, as a row for each signature that meets another carries one.  Cells that more elements share still bound a difference from below.
-MAX_SKETCH = 64
+CELLS = 8
+#: Words of a sketch at least and at most, as a row for each signature that meets another carries one.  Cells that more elements share still bound a difference from below.
+LEAST_SKETCH, MAX_SKETCH = 4, 64
 #: A pair that meets by chance costs as much as so many emitted rows, and as its sets' elements where a full sketch can't tell it from a link.
 PAIR_COST = 4.0
 
@@ -84,7 +84,7 @@ class Band:
         #: Most elements that two linked sets, the larger of this band, differ in.
         self.differ = 2 * high * (100 - percent) // (100 + percent)
         self.m, self.m1 = self.differ + 1, 0
-        self.cells = 64 * min(MAX_SKETCH, max(1, -(-CELLS * self.differ // 64)))
+        self.cells = 64 * min(MAX_SKETCH, max(LEAST_SKETCH, -(-CELLS * self.differ // 64)))
 
     def allocate(self, n_sets: int) -> None:
         """The cheapest m1: every such segment saves a plain one, as it stands a difference more."""
