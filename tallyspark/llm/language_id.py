@@ -88,31 +88,35 @@ def word_types(docs: DataFrame) -> DataFrame:
 
 
 def expected_counts(word: str, n: float, probs: dict, longest: int, into: dict) -> None:
-    """Adds n times each piece's expected count over the segmentations of word."""
+    """Adds n times each piece's expected count over the segmentations of word.
+
+    Forward values are known up to a factor that is dealt anew where they get
+    small; only a piece's share among those that end at one position is used.
+    """
     size = len(word)
     arcs = []
-    forward = [0.0] * (size + 1)
-    forward[0] = 1.0
+    forward, totals = [1.0] + [0.0] * size, [0.0] * (size + 1)
     for j in range(1, size + 1):
         total = 0.0
         for i in range(max(0, j - longest), j):
             p = probs.get(word[i:j])
-            if p is not None and forward[i]:
-                arcs.append((i, j, p))
-                total += forward[i] * p
+            if p is not None:
+                part = forward[i] * p
+                arcs.append((i, j, part))
+                total += part
         if not total:  # no piece ends here
-            arcs.append((j - 1, j, UNKNOWN))
             total = forward[j - 1] * UNKNOWN
-        forward[j] = total
-    if not forward[size]:
-        return
-    backward = [0.0] * (size + 1)
-    backward[size] = n / forward[size]
-    for i, j, p in reversed(arcs):
-        part = backward[j] * p
-        backward[i] += part
-        share = forward[i] * part
+            arcs.append((j - 1, j, total))
+        forward[j] = totals[j] = total
+        if total < 1e-120:  # rescale all that a later piece can start from
+            for i in range(max(0, j - longest + 1), j + 1):
+                forward[i] /= total
+    reached = [0.0] * (size + 1)  # n times the share of segmentations that cut here
+    reached[size] = n
+    for i, j, part in reversed(arcs):
+        share = reached[j] * (part / totals[j])
         if share:
+            reached[i] += share
             piece = word[i:j]
             into[piece] = into.get(piece, 0.0) + share
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -250,6 +251,35 @@ def test_language_forward_sums_segmentations():
     assert counts["ab"] == pytest.approx(0.1 * 0.1 / z) and counts["b"] == pytest.approx((0.1 * 0.2 + 0.2) * 0.3 / z)
 
 
+@pytest.mark.parametrize("size", [45, 72, 300, 10_000])
+def test_language_expected_counts_of_long_runs(size):
+    for letter, held in (("q", 1 / 22240), ("\ua66e", None)):  # a one-letter piece, and a letter that no piece holds
+        probs = {"▁": 1 / 22240} | ({letter: held} if held else {})
+        counts = {}
+        language_id.expected_counts("▁" + letter * size, 3.0, probs, 8, counts)
+        assert counts == {"▁": pytest.approx(3.0), letter: pytest.approx(3.0 * size)}
+    # aa and a: the expected counts by exact integer ratios
+    counts = {}
+    language_id.expected_counts("a" * size, 1.0, {"a": 2**-14, "aa": 2**-28}, 2, counts)
+    ways = [1, 1]  # every segmentation has the same probability
+    for _ in range(size - 1):
+        ways.append(ways[-1] + ways[-2])
+    ones = sum(ways[k] * ways[size - 1 - k] for k in range(size))
+    assert counts["a"] == pytest.approx(float(Fraction(ones, ways[size])))
+    assert counts["a"] + 2 * counts["aa"] == pytest.approx(size)
+
+
+def test_language_fit_on_long_runs(spark):
+    runs = [x * size for size in (45, 72, 300, 10_000) for x in ("q", "\ua66e")]
+    data = [(i, "de", f"das haus und {x}") for i, x in enumerate(runs)] + [(100 + i, "en", "the house and river") for i in range(8)]
+    df = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    langs, probs, _ = language_id.fit(df, _path("piece_bpe_32k.model"))
+    table = np.array(list(probs.values()))
+    assert np.isfinite(table).all() and np.allclose(table.sum(axis=0), 1)
+    of_runs = sum(p[langs.index("de")] for piece, p in probs.items() if set(piece) == {"q"})
+    assert of_runs > 0.5  # the runs are most of the German letters
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in rows:
