@@ -57,7 +57,7 @@ def logistic(features: list[str], label: str, n_train: int, c: float = 0.5) -> P
 
 
 def forest(features: list[str], label: str, trees: int = 300, seed: int = 42) -> Pipeline:
-    rf = RandomForestClassifier(featuresCol="raw", labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=10, maxDepth=12, seed=seed)
+    rf = RandomForestClassifier(featuresCol="raw", labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=10, maxDepth=30, seed=seed)
     return Pipeline(stages=[*_prepared(features), rf])
 
 

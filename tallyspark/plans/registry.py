@@ -358,8 +358,12 @@ def w15_m11_time_split(spark, sf_dir):
 @query()
 def m12_m15_models(spark, sf_dir):
     (table,) = medallion.from_benchmark(spark, sf_dir, "features")
-    found = model.train(table, features.FEATURES, "is_delayed", "eta", "call_id", trees=30)
+    found = model.train(table, features.FEATURES, "is_delayed", "eta", "call_id")
     rows = [(name, k, float(v)) for name, m in found["metrics"].items() for k, v in m.items() if k != "confusion_matrix"]
+    rows += [(name, k, float(v)) for name, m in found["metrics"].items() for k, v in zip(("tn", "fp", "fn", "tp"), sum(m["confusion_matrix"], []))]
+    for r in found["importances"].collect():  # one row for each feature
+        rows += [("logistic_regression", f"coefficient_{r.feature}", r.lr_coefficient), ("logistic_regression", f"importance_{r.feature}", r.lr_importance)]
+        rows.append(("random_forest", f"importance_{r.feature}", r.rf_importance))
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
