@@ -162,47 +162,49 @@ class RunLengthIndex:
 
 
 def _names(docs: DataFrame) -> DataFrame:
-    """(h, doc): each document's distinct minimizers."""
+    """(h, doc, t): the distinct minimizers of each text t of a document."""
 
     def run(batches):
         for batch in batches:
-            hs, ids, counts = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hs, ids, ts, counts = [], [], [], []
+            for i, t, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 names = window_names(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8))
                 if len(names):
                     hs.append(np.unique(names[_runs(names)]).view(np.int64))
                     ids.append(i)
+                    ts.append(t)
                     counts.append(len(hs[-1]))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.repeat(np.array(ids, np.int64), counts))], names=["h", "doc"])
+                of_each = (pa.array(np.repeat(np.array(x, np.int64), counts)) for x in (ids, ts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), *of_each], names=["h", "doc", "t"])
 
-    return docs.mapInArrow(run, "h long, doc long")
+    return docs.mapInArrow(run, "h long, doc long, t long")
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """(h, s, data, doc, start): stretches of windows whose minimizer h is among the document's shared ones; s hashes the bytes."""
+    """(h, s, data, doc, t, start): stretches of windows whose minimizer h is among the text's shared ones; s hashes the bytes."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            cols = [[] for _ in range(5)]
-            for i, text, shared in zip(*(batch.column(k) for k in range(3))):
+            cols = [[] for _ in range(6)]
+            for i, t, text, shared in zip(*(batch.column(k) for k in range(4))):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 names = window_names(np.frombuffer(raw, np.uint8))
                 begin = _runs(names)
                 named = names[begin]
                 known = np.isin(named, shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 ends = np.append(begin[1:], len(names))
-                i = i.as_py()
+                i, t = i.as_py(), t.as_py()
                 for h, a, b in zip(named[known].view(np.int64).tolist(), begin[known].tolist(), ends[known].tolist()):
                     data = raw[a : b + LENGTH - 1]
-                    for col, v in zip(cols, (h, xxhash.xxh3_64_intdigest(data) - (1 << 63), data, i, a)):
+                    for col, v in zip(cols, (h, xxhash.xxh3_64_intdigest(data) - (1 << 63), data, i, t, a)):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "s", "data", "doc", "start"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "s", "data", "doc", "t", "start"])
 
-    return docs.select("doc", "text", "shared").mapInArrow(run, "h long, s long, data binary, doc long, start long")
+    return docs.select("doc", "t", "text", "shared").mapInArrow(run, "h long, s long, data binary, doc long, t long, start long")
 
 
 _FOUND = "h long, s long, docs array<long>, first array<int>, last array<int>"
@@ -296,10 +298,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
 
     # one text of each group of equal ones stands for all
     firsts = texts.join(marked.where("NOT copy").select("doc", "t"), ["doc", "t"], "left_semi")
-    named = _names(firsts.select("doc", "text")).withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    shared, shared_at = written(named.where("n > 1").select("h", "doc"), "shared", "zstd")
-    lists = shared.groupBy("doc").agg(F.collect_list("h").alias("shared"))
-    keyed = firsts.join(lists, "doc")
+    named = _names(firsts.select("doc", "t", "text")).withColumn("n", F.count("*").over(Window.partitionBy("h")))
+    shared, shared_at = written(named.where("n > 1").select("h", "doc", "t"), "shared", "zstd")
+    lists = shared.groupBy("doc", "t").agg(F.collect_list("h").alias("shared"))
+    keyed = firsts.join(lists, ["doc", "t"])
     stretches, stretches_at = written(_stretches(keyed), "stretches", "zstd")
     removed(spark, shared_at)
 
@@ -309,14 +311,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
     last = (F.length("data") - LENGTH).cast("int")
     alone = distinct.where("n = 1").select("h", "s", F.array("d").alias("docs"), F.array(F.lit(0)).alias("first"), F.array(last).alias("last"))
     found = _indexed(grouped).unionByName(_dealt(distinct.where(F.col("n") > CROWDED))).unionByName(alone)
-    placed = stretches.select("h", "s", "doc", "start").join(found, ["h", "s"])
+    placed = stretches.select("h", "s", "doc", "t", "start").join(found, ["h", "s"])
     parts = F.filter(F.arrays_zip("docs", "first", "last"), lambda x: x["docs"] < F.col("doc"))
-    hits = placed.select("doc", "start", F.explode(parts).alias("x"))
-    spans = hits.groupBy("doc").agg(
+    hits = placed.select("doc", "t", "start", F.explode(parts).alias("x"))
+    spans = hits.groupBy("doc", "t").agg(
         F.collect_list(F.struct((F.col("start") + F.col("x.first")).alias("a"), (F.col("start") + F.col("x.last") + LENGTH).alias("b"))).alias("spans")
     )
     spans, _ = written(spans, "spans", "zstd")
     removed(spark, stretches_at, distinct_at)
-    decided = marked.join(spans, "doc", "left").withColumnRenamed("doc", "key").withColumnRenamed("t", "k")
+    decided = marked.join(spans, ["doc", "t"], "left").withColumnRenamed("doc", "key").withColumnRenamed("t", "k")
     out = base.join(decided, (F.col("doc") == F.col("key")) & (F.col("t") == F.col("k")), "left")
     return _cut(out.select(F.col("doc").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans", "rest"))

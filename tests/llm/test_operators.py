@@ -312,6 +312,14 @@ def test_suffix_dedup_ids(spark):
     assert got == sorted([(None, 0), (3, 0), (3, 0), (4, 90)], key=str)
 
 
+def test_suffix_dedup_two_texts_under_one_id(spark):
+    rng = random.Random(6)
+    passage, a, b = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (80, 120, 200))
+    df = spark.createDataFrame([(1, passage), (3, passage + a), (3, b), (5, a[:60] + b[:60])], "doc_id long, text string")
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted([(1, passage), (3, a), (3, b), (5, "")])
+
+
 def test_run_length_index_is_a_bwt():
     texts = [b"banana" * 12, b"bandana" * 9, b"x" * 55]
     index = suffix_dedup.RunLengthIndex(texts, np.array([5, 6, 7]))
