@@ -2,8 +2,10 @@
 
 A signature is a common word (the anchor) with the chain of the next two
 content words.  A text's fingerprint is the sorted set of its hashed
-signatures.  Sets are compared by Jaccard, pruned by set length: sets whose
-lengths differ by more than the threshold allows aren't compared.
+signatures.  The query compares each text with its edit and with the next
+document by plain Jaccard.  near_duplicates(), a library function that no query
+uses, prunes by set length: sets whose lengths differ by more than the
+threshold allows aren't compared.
 
 Defined results: null text counts as empty; an empty text's fingerprint is the
 empty string; a text without anchors takes chains of all its words, and one of
