@@ -2,11 +2,13 @@
 
 A sequence of tokens is the BPE encoding of its bytes exactly when each pair of
 neighbours is the encoding of the pair's bytes.  The transducer reads bytes; a
-configuration is the last whole token, the trie node of the bytes since, and
-the tokens not yet emitted.  Subsets of configurations are determinised when
-they are first met; what all configurations of a subset agree on is emitted,
-after a lookahead bounded by the longest token.  One configuration ends at the
-trie's root when the input ends.
+configuration is the tokens not yet emitted and the trie node of the bytes
+since.  Subsets of configurations are determinised when they are first met;
+what all configurations of a subset agree on is emitted, after a lookahead
+bounded by the longest token.  A register holds the last emitted token: it is
+the neighbour of a configuration that holds no token, whose step is guarded by
+the pair, so states don't multiply by the tokens before them.  One
+configuration ends at the trie's root when the input ends.
 
 Decoding joins token bytes in blocks and carries an unfinished UTF-8 sequence
 from one block to the next by a state machine.
@@ -18,17 +20,19 @@ ids are encoded each on their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gc
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .units import SpacedUnits
+from .common import bounded_batches, sliced
+from .units import Pieces, SpacedColumn, binaries, gathered
 
 #: Determinised states, and memorised pairs, that a worker keeps; the tables start anew when full.
-MAX_STATES, MAX_PAIRS = 120_000, 500_000
+MAX_STATES, MAX_PAIRS = 200_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class State:
-    """A subset of configurations with its known steps: byte -> (state, emitted tokens)."""
+    """A subset of configurations with its known steps: byte -> [guard, branches to (state, emitted tokens)]."""
 
     __slots__ = ("configs", "steps", "final")
 
@@ -53,6 +57,7 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.states: dict[tuple, State] = {}
         self.root = self._node()
         for token, rank in ranks.items():
             if self.merged(token, rank) == [rank]:  # else no merges lead to it
@@ -69,8 +74,10 @@ class Transducer:
         return [{}, None]  # children, token
 
     def _fresh(self) -> None:
+        for state in self.states.values():  # states refer to each other
+            state.steps.clear()
         self.states = {}
-        self.start = self._state([(-1, self.root, ())])
+        self.start = self._state([(self.root, ())])
 
     def merged(self, text: bytes, whole: int | None = None) -> list[int]:
         """The definition: merges the pair of least rank, leftmost first, until none is left."""
@@ -114,41 +121,51 @@ class Transducer:
                 before, b = b + 1, right[0]
 
     def _state(self, configs) -> State:
-        key = tuple([(prev, id(node), pending) for prev, node, pending in configs])
+        key = tuple([(id(node), pending) for node, pending in configs])
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State(configs)
         return found
 
-    def _step(self, state: State, b: int):
-        """Determinises one step."""
+    def _branch(self, state: State, b: int, fits: bool):
+        """Determinises one step, for a register that goes with the token of the guard or doesn't."""
         configs, root, pairs = [], self.root, self.pairs
-        for prev, node, pending in state.configs:
+        for node, pending in state.configs:
             child = node[0].get(b)
             if child is None:
                 continue
-            token = child[1]
+            children, token = child
             if token is not None:
-                fits = prev < 0 or pairs.get((prev, token))
-                if fits is None:
-                    fits = self.joins(prev, token)
-                if fits:
-                    configs.append((token, root, (*pending, token)))
-            if child[0]:
-                configs.append((prev, child, pending))
-        first = configs[0][2]
-        if len(configs) == 1:
-            same = len(first)
-        else:
-            last = min([c[2] for c in configs], key=len)
-            same = 0
-            while same < len(last) and all([c[2][same] == last[same] for c in configs]):
-                same += 1
+                if pending:
+                    joins = pairs.get((pending[-1], token))
+                    if joins is None:
+                        joins = self.joins(pending[-1], token)
+                else:
+                    joins = fits
+                if joins:
+                    configs.append((root, (*pending, token)))
+            if children:
+                configs.append((child, pending))
+        first = last = configs[0][1]
+        for _, pending in configs:
+            if len(pending) < len(last):
+                last = pending
+        same = len(last)
+        for _, pending in configs:
+            while pending[:same] != last[:same]:
+                same -= 1
         if same:
-            first, configs = first[:same], [(p, node, pending[same:]) for p, node, pending in configs]
-        else:
-            first = ()
-        step = state.steps[b] = self._state(configs), first
+            configs = [(node, pending[same:]) for node, pending in configs]
+        return self._state(configs), first[:same]
+
+    def _step(self, state: State, b: int) -> list:
+        """[guard, where the register goes with the guard's token, where it doesn't]; without a guard, the first."""
+        guard = None
+        for node, pending in state.configs:
+            if not pending:
+                child = node[0].get(b)
+                guard = child[1] if child is not None else None
+        step = state.steps[b] = [guard, None if guard is not None else self._branch(state, b, False), None]
         return step
 
     def encode(self, match: bytes) -> list[int]:
@@ -157,14 +174,28 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._fresh()
-        state, out = self.start, []
+        state, out, register, pairs = self.start, [], -1, self.pairs
         for b in match:
             step = state.steps.get(b) or self._step(state, b)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            guard = step[0]
+            if guard is None:
+                branch = step[1]
+            else:
+                if register < 0:
+                    fits = True
+                else:
+                    fits = pairs.get((register, guard))
+                    if fits is None:
+                        fits = self.joins(register, guard)
+                branch = step[1] if fits else step[2]
+                if branch is None:
+                    branch = step[1 if fits else 2] = self._branch(state, b, fits)
+            state, emitted = branch
+            if emitted:
+                out += emitted
+                register = emitted[-1]
         if state.final is None:
-            state.final = next(pending for _, node, pending in state.configs if node is self.root)
+            state.final = next(pending for node, pending in state.configs if node is self.root)
         out += state.final
         return out
 
@@ -205,36 +236,38 @@ class Utf8Stream:
 
 
 class Codec:
-    """Encodes whole texts to id bytes (little-endian, 32 bits) and decodes them in blocks."""
+    """Encodes columns of texts to id bytes (little-endian, 32 bits) and decodes them in blocks."""
 
-    BLOCK = 8192
+    BLOCK = 1 << 16
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.split = regex.compile(pattern).findall
         self.fst = Transducer(ranks)
-        self.units = SpacedUnits(self._encode)
-        most = max(ranks.values(), default=0)
-        self.token_bytes = [self.fst.bytes_of.get(i, b"") for i in range(most + 1)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            ids = []
-            for match in self.split(text):
-                ids += self.fst.encode(match.encode())
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return self.units(text)
+        pieces = Pieces(regex.compile(pattern).findall, self._encode, "<u4")
+        self.column = SpacedColumn(pieces, pieces)
+        most = max(ranks.values(), default=-1)
+        tokens = [self.fst.bytes_of.get(i, b"") for i in range(most + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_size = np.array(list(map(len, tokens)), np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+
+    def _encode(self, pieces: list[str]) -> pa.Array:
+        gc.disable()  # states are many and live long; scanning them again and again would take most of the time
+        try:
+            ids = [self.fst.encode(piece.encode()) for piece in pieces]
+        finally:
+            gc.enable()
+        return binaries(np.fromiter(chain.from_iterable(ids), "<u4"), np.array(list(map(len, ids)), np.int64))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        return self.column(texts)
 
     def decode(self, ids: bytes) -> str:
-        tokens = np.frombuffer(ids, dtype="<u4").tolist()
-        stream, out, get = Utf8Stream(), [], self.token_bytes.__getitem__
+        tokens, stream, out = np.frombuffer(ids, "<u4").astype(np.int64), Utf8Stream(), []
         for i in range(0, len(tokens), self.BLOCK):
-            out.append(stream.feed(b"".join(map(get, tokens[i : i + self.BLOCK]))))
+            block = tokens[i : i + self.BLOCK]
+            out.append(stream.feed(gathered(self.token_bytes, self.token_start[block], self.token_size[block]).tobytes()))
         out.append(stream.close())
         return "".join(out)
 
@@ -246,18 +279,19 @@ def codec(path: str, pattern: str) -> Codec:
     """The worker's codec for a rank file."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(load_ranks(path), pattern)
+        gc.freeze()
     return _codecs[path, pattern]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit ids) and decoded, the text that the ids decode to."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
-            ids = [c.encode(s or "") for s in batch.column(1).to_pylist()]
-            decoded = [c.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        for batch in sliced(batches):
+            ids = c.encode(batch.column(1))
+            decoded = [c.decode(x) for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")

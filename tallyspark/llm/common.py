@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,30 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Text bytes of a batch that Python works on at once; a single text may be longer.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch sent to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches where their texts, in column number `text`, reach so many bytes."""
+    for batch in batches:
+        if batch.column(text).nbytes <= limit:
+            yield batch
+            continue
+        at, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if i > at and held + n > limit:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        yield batch.slice(at)
+
+
 #: Deletes a query's shuffle files when it ends; what it wrote doesn't need them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

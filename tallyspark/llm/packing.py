@@ -16,17 +16,14 @@ times 2**33, so a task that is run again gives the same ones.
 
 from __future__ import annotations
 
-import os
-from array import array
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .units import SpacedUnits
+from .common import bounded_batches, sliced
+from .units import Column, SpacedColumn, library_column
 
 CAPACITY = 2048
 #: Largest part of a class's slot that a piece may leave empty, as 1 / TOLERANCE.
@@ -34,18 +31,16 @@ TOLERANCE = 64
 END_ID = 1
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Fixed value: the pre-split of byte-level tokenizer files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _encoders: dict = {}
 
 
-def byte_encoder(path: str) -> SpacedUnits:
-    """The worker's encoder (text -> little-endian 32-bit ids) for a byte-level tokenizer file of the tokenizers library."""
+def byte_encoder(path: str) -> Column:
+    """The worker's encoder (column of texts -> little-endian 32-bit ids) for a byte-level tokenizer file of the tokenizers library."""
     if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _encoders[path] = SpacedUnits(lambda units: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+        _encoders[path] = library_column(SpacedColumn, path, PATTERN, lambda token: token.startswith("Ġ"), "<u4")
     return _encoders[path]
 
 
@@ -101,7 +96,7 @@ class Bins:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: its document, place, token ids (little-endian 32-bit) and sequence."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -125,10 +120,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
 
-        for batch in batches:
+        for batch in sliced(batches):
             pieces = []
-            for doc, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(s or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), end).to_pylist()):
                 waiting[n_doc] = (doc, ids, len(ids) // 4)
                 pieces += bins.add(n_doc, len(ids) // 4)
                 n_doc += 1

@@ -6,80 +6,102 @@ Documents lie in ascending id order, in blocks that decode independently;
 each block holds the bit offset of every CHECKPOINT-th id, from which all its
 stretches are decoded side by side by one table.
 
-Files: <path>/blocks, Parquet rows (part, block, part_start, doc_ids,
-doc_tokens, checkpoints, payload), and <path>/code, rows (id, bits).
+Files: <path>/blocks, Parquet rows (part, part_start, doc_ids, doc_tokens,
+checkpoints, payload), and <path>/code, rows (id, bits).
 
 Defined results: null text counts as empty and gives the end id alone; rows
-with equal ids are kept, in the order of their tokens; null ids come first; an
-empty table gives empty files, which read back as an empty result.
+with equal ids are kept, in the order of their texts' hashes; null ids come
+first; an empty table gives empty files, which read back as an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-import os
 import uuid
-from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, shared_dir, small_batches, written
-from .units import BareUnits
+from .common import bounded_batches, removed, shared_dir, sliced, written
+from .units import BareColumn, Column, library_column, values_of
 
 MAX_BITS = 20
 CHECKPOINT = 128
 #: Ids after which a block ends with the document that reaches them.
 BLOCK_IDS = 1 << 18
-#: Bytes of ids for one part of the files.
+#: Bytes of text for one part of the files.
 PART_BYTES = 32 << 20
 END_ID = 2
 
+#: Fixed value: the pre-split of the tokenizer file.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_TOKENS = pa.schema([
+    ("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
+    ("counted", pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))),
+])
 _encoders: dict = {}
 
 
-def word_encoder(path: str) -> BareUnits:
-    """The worker's encoder for a tokenizer file that drops white space."""
+def word_encoder(path: str) -> Column:
+    """The worker's encoder for a tokenizer file that drops white space; ids are 16-bit."""
     if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _encoders[path] = BareUnits(lambda words: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+        _encoders[path] = library_column(BareColumn, path, PATTERN, lambda token: token.endswith("</w>"), "<u2")
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian 32-bit) with the end id."""
-    small_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
+def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) in parts of about PART_BYTES of text by ascending id, null first; rows of one id by their texts' hashes, so they may lie in several parts."""
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    by = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    return base.repartitionByRange(-(-size // PART_BYTES) or 1, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
-    def run(batches):
-        encode = word_encoder(tokenizer)
-        for batch in batches:
-            ids = [encode(s or "") + end for s in batch.column(1).to_pylist()]
-            n = [len(x) // 4 for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """Rows (doc_id, text) in the order of parts to (part, before, doc_id, n_tokens, ids, counted).
 
-
-def count_ids(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs; as many rows as the vocabulary has entries at most."""
+    ids are little-endian 16-bit with the end id, before the ids of the part's
+    rows before.  One more row for each part has no ids, but counted, how often
+    each id occurs in the part.
+    """
+    bounded_batches(docs.sparkSession)
+    end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches):
-        total: dict[int, int] = {}
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found, n = np.unique(np.frombuffer(ids, dtype="<u4"), return_counts=True)
-                for i, c in zip(found.tolist(), n.tolist()):
-                    total[i] = total.get(i, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+        encode, part, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        counts = np.zeros(1 << 16, np.int64)
+
+        def batch_of(n: int, **columns):
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _TOKENS], schema=_TOKENS)
+
+        for batch in sliced(batches):
+            ids = encode(batch.column(1), end)
+            values, ends = values_of(ids, np.dtype("<u2"))
+            counts += np.bincount(values, minlength=len(counts))
+            yield batch_of(
+                len(ids),
+                part=pa.array(np.full(len(ids), part, np.int32)),
+                before=pa.array(before + ends[:-1]),
+                doc_id=batch.column(0),
+                n_tokens=pa.array(np.diff(ends)),
+                ids=ids,
+            )
+            before += int(ends[-1])
+        found = np.flatnonzero(counts)
+        entries = pa.StructArray.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
+        yield batch_of(1, counted=pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), entries))
+
+    schema = "part int, before long, doc_id long, n_tokens long, ids binary, counted array<struct<id:int,n:long>>"
+    return docs.mapInArrow(run, schema)
+
 
-    counts = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def count_ids(tokens: DataFrame) -> dict[int, int]:
+    """How often each id occurs; as many rows as the vocabulary has entries at most."""
+    counts = tokens.select(F.explode("counted").alias("x")).groupBy("x.id").agg(F.sum("x.n").alias("n"))
     return {r["id"]: r["n"] for r in counts.collect()}
 
 
@@ -169,42 +191,43 @@ class Coder:
         return out.reshape(-1)[:n]
 
 
-def write_tokens(tokens: DataFrame, path: str, key_bounds: list) -> None:
-    """Writes doc_id, n_tokens and ids as files of the format, parts in ascending id order."""
+_BLOCKS = "part int, part_start long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Writes the rows of tokenize() as files of the format."""
     spark = tokens.sparkSession
     lengths = code_lengths(count_ids(tokens))
     code = [(int(s), int(b)) for s, b in lengths.items()]
     spark.createDataFrame(code, "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast(lengths)  # as large as the vocabulary at most
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, key_bounds)), lambda b: b <= F.col("doc_id"))), F.lit(0)) if key_bounds else F.lit(0)
-    placed = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
-    placed = placed.repartition(len(key_bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         coder = Coder(shared.value)
-        rows, held, n, part, block, start = [], [], 0, None, 0, 0
+        rows, held, n, part, start, due = [], [], 0, None, 0, None
 
         def close():
-            nonlocal held, n, block, start
-            checkpoints, payload = coder.encode(np.concatenate([np.frombuffer(x[1], dtype="<u4") for x in held]).astype(np.int64))
-            rows.append((part, block, start, [x[0] for x in held], [len(x[1]) // 4 for x in held], checkpoints.tobytes(), payload))
-            held, n, block, start = [], 0, block + 1, start + n
+            nonlocal held, n
+            checkpoints, payload = coder.encode(np.concatenate([np.frombuffer(x[1], dtype="<u2") for x in held]).astype(np.int64))
+            rows.append((part, start, [x[0] for x in held], [len(x[1]) // 2 for x in held], checkpoints.tobytes(), payload))
+            held, n = [], 0
 
         def batch_of():
-            names = ["part", "block", "part_start", "doc_ids", "doc_tokens", "checkpoints", "payload"]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["part", "part_start", "doc_ids", "doc_tokens", "checkpoints", "payload"]
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
             rows.clear()
             return out
 
         for batch in batches:
-            for p, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if p != part:
-                    if held:
-                        close()
-                    part, block, start = p, 0, 0
+            for p, before, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and (p, before) != due:  # another part, or another stretch of its file
+                    close()
+                if not held:
+                    part, start = p, before
                 held.append((doc, ids))
-                n += len(ids) // 4
+                n += len(ids) // 2
+                due = p, before + len(ids) // 2
                 if n >= BLOCK_IDS:
                     close()
             if rows:
@@ -213,16 +236,14 @@ def write_tokens(tokens: DataFrame, path: str, key_bounds: list) -> None:
             close()
         yield batch_of()
 
-    schema = "part int, block long, part_start long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
-    placed.select("part", "doc_id", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    tokens.where("ids IS NOT NULL").select("part", "before", "doc_id", "ids").mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, decoded from the files."""
     code = spark.read.schema("id long, bits int").parquet(f"{path}/code").collect()  # one row for each vocabulary entry at most
     shared = spark.sparkContext.broadcast({r["id"]: r["bits"] for r in code})
-    schema = "part int, block long, part_start long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
-    blocks = spark.read.schema(schema).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before, bases = 0, {}
     for r in sorted(totals.collect()):  # one row for each part
@@ -248,11 +269,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Tokenizes documents, writes them as files of the format in the shared folder, and reads the files."""
     spark = docs.sparkSession
-    tokens, kept = written(tokenize(docs, tokenizer, end_id), "ids")
-    n = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, min(1024, -(-4 * n // PART_BYTES)))
-    bounds = sorted(set(tokens.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000)).first()[0] or [])) if parts > 1 else []
+    tokens, kept = written(tokenize(ordered(docs), tokenizer, end_id), "ids", "zstd")
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(tokens, path, bounds)
+    write_tokens(tokens, path)
     removed(spark, kept)
     return read_tokens(spark, path)

@@ -7,11 +7,12 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tallyspark.llm.queries")
 
-from tallyspark.llm import bpe_fst, chat_format, fingerprints, language_id, ngram_join, packing, quality_pu, quality_rules, suffix_dedup, token_binary
+from tallyspark.llm import bpe_fst, chat_format, common, fingerprints, language_id, ngram_join, packing, quality_pu, quality_rules, suffix_dedup, token_binary, units
 from tallyspark.llm.queries import _PATTERN, _path
 
 EDGES = [None, "", " ", "a", "A b", "a b c", "a  b\n\n\tc ", "é ÀÉ ΑΣ Σ İ", "日本語 テキスト", "a\x1cb \x85c", "don't we'll 'S", "<|endoftext|> 12", "x" * 300, "word " * 400]
@@ -394,9 +395,46 @@ def test_byte_bpe(docs, rows, nothing):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == ref.encode_ordinary(t or "") and got[i].decoded == (t or "")
     assert bpe_fst.encode_decode(nothing, _path("byte_bpe_multi_50k.tiktoken"), _PATTERN).count() == 0
     rng, codec = random.Random(9), bpe_fst.codec(_path("byte_bpe_multi_50k.tiktoken"), _PATTERN)
-    for _ in range(1500):
-        t = "".join(rng.choice("ab \n\t.,'é日1 😀!tshing") for _ in range(rng.randint(1, 40)))
-        assert np.frombuffer(codec.encode(t), "<u4").tolist() == ref.encode_ordinary(t)
+    texts = ["".join(rng.choice("ab \n\t.,'é日1 😀!tshing") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    for t, ids in zip(texts, codec.encode(pa.array(texts)).to_pylist()):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode_ordinary(t) and codec.decode(ids) == t
+
+
+ODD = [
+    "", None, " ", "a ", " a", "a  b", "a\nb", "a\n b", "\n", "x\n", "it's John's  'S ''s", "İstanbul é e\u0301 x", "tab\tx", "日本語 text 한국어 \u1112\u1161", "a\u00a0b",
+    "\x00 z \x00", "don't\nwon't I'LL", "ſ ẞ Σας ὈΔΥΣΣΕΎΣ", "<|endoftext|> a<|startoftext|>b", "1234 a1b2 ½ Ⅳ", "…—“q” ’s", "y" * 70_000, "z " * 30_000,
+]
+
+
+def test_columns_of_odd_texts():
+    texts = pa.array(ODD, pa.string())
+    words, pieces = hf("word_bpe_49k.json"), hf("byte_bpe_50k.json")
+    for t, ids in zip(ODD, token_binary.word_encoder(_path("word_bpe_49k.json"))(texts).to_pylist()):
+        assert np.frombuffer(ids, "<u2").tolist() == words(t), t
+    for t, ids in zip(ODD, packing.byte_encoder(_path("byte_bpe_50k.json"))(texts, b"\1\0\0\0").to_pylist()):
+        assert np.frombuffer(ids, "<u4").tolist() == [*pieces(t), 1], t
+    assert len(packing.byte_encoder(_path("byte_bpe_50k.json"))(pa.array([], pa.string()))) == 0
+
+
+def test_units_beyond_the_dictionary():
+    asked = []
+
+    def encode(words):
+        asked.append(len(words))
+        return pa.array([w.encode("utf-16-le") for w in words], pa.binary())
+
+    known, rng = units.Units(encode, "<u2", most=50), random.Random(3)
+    for _ in range(60):
+        words = list({str(int(rng.paretovariate(0.5))) * rng.randint(1, 9) for _ in range(40)})
+        assert known(pa.array(words)).to_pylist() == [w.encode("utf-16-le") for w in words]
+        assert len(known.h1) <= 50
+    assert sum(asked) > 300
+
+
+def test_texts_are_sliced_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 30, "c", "d" * 5, ""])], names=["i", "t"])
+    cut = list(common.sliced([batch], limit=12))
+    assert [b.column(0).to_pylist() for b in cut] == [[0, 1], [2], [3, 4, 5]]
 
 
 def test_utf8_stream():
