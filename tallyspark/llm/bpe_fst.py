@@ -32,7 +32,7 @@ from .common import bounded_batches, sliced
 from .units import Pieces, SpacedColumn, binaries, gathered
 
 #: Determinised states, and memorised pairs, that a worker keeps; the tables start anew when full.
-MAX_STATES, MAX_PAIRS = 200_000, 1_000_000
+MAX_STATES, MAX_PAIRS = 120_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +56,7 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first token << 32 | second
         self.states: dict[tuple, State] = {}
         self.root = self._node()
         for token, rank in ranks.items():
@@ -98,11 +98,11 @@ class Transducer:
 
     def joins(self, a: int, b: int) -> bool:
         """Whether two tokens stay apart when their bytes are encoded together."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._apart(a, b)
+            known = self.pairs[a << 32 | b] = self._apart(a, b)
         return known
 
     def _apart(self, a: int, b: int) -> bool:
@@ -137,7 +137,7 @@ class Transducer:
             children, token = child
             if token is not None:
                 if pending:
-                    joins = pairs.get((pending[-1], token))
+                    joins = pairs.get(pending[-1] << 32 | token)
                     if joins is None:
                         joins = self.joins(pending[-1], token)
                 else:
@@ -184,7 +184,7 @@ class Transducer:
                 if register < 0:
                     fits = True
                 else:
-                    fits = pairs.get((register, guard))
+                    fits = pairs.get(register << 32 | guard)
                     if fits is None:
                         fits = self.joins(register, guard)
                 branch = step[1] if fits else step[2]

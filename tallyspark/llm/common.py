@@ -36,12 +36,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 #: Text bytes of a batch that Python works on at once; a single text may be longer.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch sent to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,16 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
 
 def count_ids(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs; as many rows as the vocabulary has entries at most."""
-    counts = tokens.select(F.explode("counted").alias("x")).groupBy("x.id").agg(F.sum("x.n").alias("n"))
+
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            entries = batch.column(0).flatten()
+            np.add.at(total, entries.field("id").to_numpy(), entries.field("n").to_numpy())
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
+
+    counts = tokens.where("counted IS NOT NULL").select("counted").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counts.collect()}
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a dictionary keeps.
-MAX_UNITS = 1_500_000
+MAX_UNITS = 800_000
 #: Units joined to one string for a tokenizer.
 CHUNK = 200
 
@@ -92,7 +92,7 @@ class Units:
     def __init__(self, encode: Callable[[list[str]], pa.Array], dtype: str, most: int = MAX_UNITS):
         self.encode, self.kind, self.most = encode, np.dtype(dtype), most
         self.h1 = self.h2 = np.zeros(0, np.uint64)
-        self.start = self.size = np.zeros(0, np.int64)
+        self.start = self.size = np.zeros(0, np.int32)  # in flat, which holds less than 2**31 values
         self.met = np.zeros(0, bool)
         self.flat, self.end = np.zeros(1 << 16, self.kind), 0
 
@@ -100,7 +100,7 @@ class Units:
         data, ends = values_of(ids, self.kind)
         size = np.diff(ends)
         if self.end + len(data) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.end], np.zeros(max(len(data), self.end) + len(data), self.kind)])
+            self.flat = np.concatenate([self.flat[: self.end], np.zeros(self.end // 2 + len(data), self.kind)])
         self.flat[self.end : self.end + len(data)] = data
         start = self.end + np.cumsum(size) - size
         self.end += len(data)
@@ -111,9 +111,9 @@ class Units:
         if 2 * len(keep) > self.most:  # all are in use: every second one goes
             keep = keep[::2]
         self.h1, self.h2, self.size = self.h1[keep], self.h2[keep], self.size[keep]
-        self.flat = gathered(self.flat, self.start[keep], self.size)
+        self.flat = gathered(self.flat, self.start[keep].astype(np.int64), self.size.astype(np.int64))
         self.end = len(self.flat)
-        self.start, self.met = np.cumsum(self.size) - self.size, np.zeros(len(keep), bool)
+        self.start, self.met = (np.cumsum(self.size) - self.size).astype(np.int32), np.zeros(len(keep), bool)
 
     def __call__(self, words: pa.Array) -> pa.Array:
         """The ids (binary) of different words."""
@@ -137,7 +137,7 @@ class Units:
                 put = put[self.h1[np.minimum(at[put], len(self.h1) - 1)] != h1[put]]
             where = at[put]
             self.h1, self.h2 = np.insert(self.h1, where, h1[put]), np.insert(self.h2, where, h2[put])
-            self.start, self.size = np.insert(self.start, where, start[put]), np.insert(self.size, where, size[put])
+            self.start, self.size = np.insert(self.start, where, start[put].astype(np.int32)), np.insert(self.size, where, size[put].astype(np.int32))
             self.met = np.insert(self.met, where, True)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
