@@ -72,12 +72,18 @@ def _runs(names: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
 
 
+def _directory(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the number of the run that it lies in."""
+    return np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=n))
+
+
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of texts that are joined by separators.
 
     runs and heads are the transform, jump the LF value of each run's first
     row, samples the suffix array at run ends; starts and first give the rows
-    at which the first `length` bytes change, and the least document there.
+    at which the first `length` bytes change, and the least document there;
+    run_at and interval_at find a row's run and interval.
     """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int = LENGTH):
@@ -88,6 +94,7 @@ class RunLengthIndex:
         self.length, self.sizes = length, sizes
         bwt = joined[order - 1]
         self.runs = _runs(bwt)
+        self.run_at = _directory(self.runs, n)
         self.heads = bwt[self.runs]
         lengths = np.diff(self.runs, append=n)
         by_head = np.argsort(self.heads, kind="stable")
@@ -98,6 +105,7 @@ class RunLengthIndex:
         changed = np.ones(n, bool)
         changed[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.starts = np.flatnonzero(changed)
+        self.interval_at = _directory(self.starts, n)
         owner = np.repeat(docs, sizes + 1)
         self.first = np.minimum.reduceat(owner[order], self.starts)
         row = np.empty(n, np.int64)
@@ -106,34 +114,42 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted(joined: np.ndarray, length: int):
-        """The suffix array by prefix doubling, and ranks by the largest power of two up to length."""
+        """The suffix array by prefix doubling, and ranks by the largest power of two up to length.
+
+        A suffix's rank is the first place of those that agree with it so far;
+        only suffixes that still agree with others are sorted again.
+        """
         n = len(joined)
         padded = np.concatenate([joined, np.zeros(8, np.uint8)]).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         for i in range(8):
             key = (key << _M(8)) | padded[i : n + i]
-        size, by_half, half = 8, None, 0
+        order = np.argsort(key)
+        place, ordered = np.arange(n), key[order]  # places of the suffixes in question, and their sorted keys
+        rank, size, by_half, half = np.empty(n, np.int64), 8, None, 0
         while True:
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.ones(n, bool)
+            new = np.ones(len(place), bool)
             new[1:] = ordered[1:] != ordered[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
+            first = np.flatnonzero(new)
+            counts = np.diff(first, append=len(place))
+            rank[order[place]] = np.repeat(place[first], counts)
             if size <= length:
-                by_half, half = rank, size
-            if new.all() and size * 2 > length:
-                return order, by_half, half
-            if size >= n and size * 2 > length:
+                by_half, half = rank.copy(), size
+            place = place[np.repeat(counts > 1, counts)]
+            if not len(place) and size * 2 > length:
                 return order, by_half, half
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - size)] = rank[size:]
-            key = rank.astype(np.uint64) * _M(n + 1) + after.astype(np.uint64)
+            suffix = order[place]
+            after = suffix + size
+            key = rank[suffix] * (n + 1)
+            inside = after < n
+            key[inside] += rank[after[inside]] + 1
+            by_key = np.argsort(key)
+            order[place], ordered = suffix[by_key], key[by_key]
             size *= 2
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: from a suffix's row to that of the suffix one byte longer."""
-        r = np.searchsorted(self.runs, rows, "right") - 1
+        r = self.run_at[rows]
         return self.jump[r] + rows - self.runs[r]
 
     def stream(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,7 +163,7 @@ class RunLengthIndex:
             rows = self.step(rows[:active])
             if t >= self.length:
                 at.append(np.stack([texts[:active], sizes[:active] - t]))
-                doc.append(self.first[np.searchsorted(self.starts, rows, "right") - 1])
+                doc.append(self.first[self.interval_at[rows]])
         if not at:
             return [(np.zeros(0, np.int64),) * 3 for _ in texts]
         at, doc = np.concatenate(at, axis=1), np.concatenate(doc)
