@@ -27,28 +27,28 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import removed, small_batches, written
+from .common import bounded_batches, removed, sliced, written
 from .components import components
+from .units import text_hashes
 
-#: Words whose hashes a worker keeps; the table starts anew when full.
-MAX_WORDS = 500_000
 #: Rounds in which a bucket's most central member meets the others, before all that are still apart meet.
 STARS = 3
 #: Cells of a sketch for each element that linked sets of a band may differ in.
-CELLS = 8
+CELLS = 3
 #: Words of a sketch at least and at most, as a row for each signature that meets another carries one.  Cells that more elements share still bound a difference from below.
 LEAST_SKETCH, MAX_SKETCH = 4, 64
 #: A pair that meets by chance costs as much as so many emitted rows, and as its sets' elements where a full sketch can't tell it from a link.
 PAIR_COST = 4.0
 
 _M = np.uint64
-_known: dict = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,23 +57,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _M(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_known) > MAX_WORDS:
-        _known.clear()
-    new = [w for w in set(words) if w not in _known]
-    _known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(h))
-    total = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        total = (total ^ h[i : len(h) - n + 1 + i]) * _M(0x9E3779B97F4A7C15 + 2 * i) + _M(i + 1)
-    return np.unique(mix(total))
+def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles."""
+    texts = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+    if pc.any(pc.match_substring_regex(texts, r"[\t-\r]")).as_py():
+        texts = pc.replace_substring_regex(texts, r"[\t-\r]", " ")
+    lists = pc.split_pattern(texts, " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    full = (pc.binary_length(coded.dictionary).to_numpy() > 0)[codes]
+    h = text_hashes(coded.dictionary)[0][codes[full]]
+    bounds = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
+
+    def hashed(h: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+        for i in range(n):
+            total = (total ^ h[i : i + len(total)]) * _M(0x9E3779B97F4A7C15 + 2 * i) + _M(i + 1)
+        return mix(total)
+
+    every = hashed(h, width)
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        if b - a >= width:
+            s = np.sort(every[a : b - width + 1])
+            yield s[np.append(True, s[1:] != s[:-1])]
+        else:
+            yield hashed(h[a:b], b - a)[: b - a]
 
 
 class Band:
@@ -83,22 +92,30 @@ class Band:
         self.number, self.low, self.high = number, low, high
         #: Most elements that two linked sets, the larger of this band, differ in.
         self.differ = 2 * high * (100 - percent) // (100 + percent)
-        self.m, self.m1 = self.differ + 1, 0
+        #: Segments above those that a difference can spoil, a neighbourhood counting twice.
+        self.spare, self.m, self.m1 = 1, self.differ + 1, 0
         self.cells = 64 * min(MAX_SKETCH, max(LEAST_SKETCH, -(-CELLS * self.differ // 64)))
 
     def allocate(self, n_sets: int) -> None:
-        """The cheapest m1: every such segment saves a plain one, as it stands a difference more."""
+        """The cheapest m1 and spare: rows to emit against sets that must emit what they have empty, and meet by that."""
         best = None
         pair_cost = PAIR_COST + (self.high if 4 * self.differ > self.cells else 0)
-        for m1 in range((self.differ + 1) // 2 + 1):
-            m = self.differ + 1 - m1
-            size = self.high / m
-            rows = n_sets * ((m - m1) + m1 * (1 + size))
-            chance = n_sets**2 / 2 * (m - m1) * math.exp(-2 * size)  # both sets leave a segment empty
-            chance += n_sets**2 / 2 * m1 * (1 + 2 * size) * math.exp(-2 * size)
-            cost = rows + pair_cost * chance
-            if best is None or cost < best:
-                best, self.m, self.m1 = cost, m, m1
+        for spare in range(1, 12 + self.differ // 4):
+            total = self.differ + spare
+            for m1 in {0, *(total * k // 16 for k in range(1, 9))}:
+                m = total - m1
+                size = self.low / m
+                empty = math.exp(-size)
+                lost = (m - m1) * empty + 2 * m1 * (1 + size) * empty
+                term = tail = math.exp(-lost)  # of a Poisson count, below spare
+                for i in range(1, spare):
+                    term *= lost / i
+                    tail += term
+                forced = n_sets * max(0.0, 1 - tail)
+                rows = n_sets * ((m - m1) * (1 - empty) + m1 * (1 + size)) + forced * lost
+                cost = rows + pair_cost * forced**2 / 2 * min(1.0, spare * spare / m)
+                if best is None or cost < best:
+                    best, self.spare, self.m, self.m1 = cost, spare, m, m1
 
 
 def bands_for(sizes: dict[int, int], largest: int, percent: int) -> list[Band]:
@@ -115,19 +132,28 @@ def bands_for(sizes: dict[int, int], largest: int, percent: int) -> list[Band]:
 
 
 def signatures(s: np.ndarray, band: Band) -> np.ndarray:
-    """A set's signatures in a band: one for each segment, and one for each element left out of the first m1."""
+    """A set's signatures in a band: one for each segment, and one for each element left out of the first m1.
+
+    Linked sets agree on segments worth spare at least, or differ there by an
+    element where the neighbourhood is indexed.  A set with fewer empty ones
+    than that agrees on one that isn't empty, so its empty ones are left out.
+    """
     # fmt: off
     segment = (mix(s ^ _M(0x5851F42D4C957F2D)) % _M(band.m)).astype(np.int64)
     # fmt: on
     order = np.argsort(segment, kind="stable")
     segment, values = segment[order], mix(s[order] + _M(0x2545F4914F6CDD1D))
+    sizes = np.bincount(segment, minlength=band.m)
     sums = np.zeros(band.m, np.uint64)
     first = np.flatnonzero(np.diff(segment, prepend=-1))
     sums[segment[first]] = np.add.reduceat(values, first)
     tag = np.arange(band.m, dtype=np.uint64) + _M(band.number << 32)
+    bare = int((sizes[band.m1 :] == 0).sum() + 2 * (sizes[: band.m1] <= 1).sum()) < band.spare
     out = mix(sums ^ mix(tag))
+    if bare:
+        out = out[sizes > 0]
     if band.m1:
-        inside = segment < band.m1
+        inside = (segment < band.m1) & ((sizes[segment] > 1) | (not bare))
         out = np.concatenate([out, mix((sums[segment[inside]] - values[inside]) ^ mix(tag[segment[inside]]))])
     return out
 
@@ -143,10 +169,9 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches):
         bands = bands_for({}, 1000, percent)
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [[] for _ in range(5)]
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, width)
+            for s in shingles(batch.column(1), width):
                 if bands[-2].high < len(s):
                     bands = bands_for({}, 2 * len(s), percent)
                 k = next(i for i, band in enumerate(bands) if len(s) <= band.high)
@@ -164,10 +189,9 @@ def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> Dat
     edges = np.array([b.low for b in bands])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, counts, ids, ns, own = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, width)
+            for i, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), width)):
                 if not len(s):
                     continue
                 k = int(np.searchsorted(edges, len(s), "right")) - 1
@@ -192,8 +216,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, s): a document's set."""
 
     def run(batches):
-        for batch in batches:
-            found = [shingles(text, width).view(np.int64) for text in batch.column(1).to_pylist()]
+        for batch in sliced(batches):
+            found = [s.view(np.int64) for s in shingles(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
 
     return docs.mapInArrow(run, "id long, s array<long>")
@@ -214,7 +238,7 @@ def _linked(pairs: DataFrame, base: DataFrame, width: int, percent: int) -> Data
 def near_duplicate_classes(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id: the least id that links of Jaccard >= percent / 100 lead to."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     keyed, keyed_at = written(_keyed(base, width, percent), "sets")
     whole = keyed.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))

@@ -127,8 +127,27 @@ def test_allocation_uses_deletions_where_chance_meetings_cost_more():
     band = ngram_join.Band(0, 90, 100, 90)
     band.allocate(1000)
     assert band.m1 == 0
-    band.allocate(10**12)
-    assert band.m1 > 0 and band.m + band.m1 == band.differ + 1
+    small = ngram_join.Band(0, 6, 7, 80)
+    small.allocate(10**6)
+    assert small.m1 > 0
+    for b in (band, small):
+        assert b.m + b.m1 == b.differ + b.spare
+
+
+@pytest.mark.parametrize(("m1", "spare"), [(0, 1), (0, 4), (3, 1), (3, 5)])
+def test_linked_sets_share_a_signature(m1, spare):
+    rng = np.random.default_rng(m1 + spare)
+    for size in (12, 30, 80):
+        band = ngram_join.Band(3, size * 4 // 5, size, 80)
+        band.spare, band.m1 = spare, min(m1, (band.differ + spare) // 2)
+        band.m = band.differ + spare - band.m1
+        for _ in range(200):
+            universe = rng.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+            a, gone, new = universe[:size], *rng.integers(0, band.differ + 1, 2)
+            gone, new = min(gone, band.differ), min(new, band.differ - min(gone, band.differ))
+            b = np.concatenate([a[gone:], universe[size : size + new]])
+            sigs = [set(ngram_join.signatures(np.sort(x), band).tolist()) for x in (a, b)]
+            assert sigs[0] & sigs[1]
 
 
 def hf(name):
