@@ -14,7 +14,7 @@ CARRIERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 DELAYED_MINUTES = 120
 
 FEATURES = [
-    "planned_cranes", "planned_crane_hours", "vessel_capacity", "day_of_week", "month", "is_weekend", "storm_flag",
+    "planned_cranes", "planned_crane_hours", "planned_moves", "vessel_capacity", "day_of_week", "month", "is_weekend", "storm_flag",
     "avg_previous_10_terminal", "avg_previous_10_service", "previous_vessel_delay", "congestion_score", "terminal_code", "carrier_code",
 ]
 
@@ -23,9 +23,10 @@ def candidates(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("eta").isNotNull() & ~F.col("invalid_arrival_sequence_flag"))
 
 
-def planned_scope(df: DataFrame, cranes: DataFrame) -> DataFrame:
+def planned_scope(df: DataFrame, cranes: DataFrame, moves: DataFrame) -> DataFrame:
     scope = cranes.groupBy("call_id").agg(F.count_distinct("crane_id").alias("planned_cranes"), F.sum("planned_hours").alias("planned_crane_hours"))
-    out = df.join(scope, "call_id", "left").withColumn("vessel_capacity", F.col("planned_teu").cast("double"))
+    planned = moves.groupBy("call_id").agg(F.count("*").alias("planned_moves"))
+    out = df.join(scope, "call_id", "left").join(planned, "call_id", "left").fillna(0, ["planned_moves"]).withColumn("vessel_capacity", F.col("planned_teu").cast("double"))
     return out.withColumn("planned_cranes", F.coalesce("planned_cranes", F.lit(0)).cast("long")).withColumn("planned_crane_hours", F.coalesce("planned_crane_hours", F.lit(0.0)))
 
 
@@ -62,7 +63,7 @@ def target(df: DataFrame) -> DataFrame:
     return df.withColumn("is_delayed", F.when(F.col("arrival_delay_minutes").isNotNull(), late.cast("double")))
 
 
-def feature_table(calls: DataFrame, cranes: DataFrame, weather: DataFrame) -> DataFrame:
-    out = temporal(planned_scope(candidates(calls), cranes))
+def feature_table(calls: DataFrame, cranes: DataFrame, moves: DataFrame, weather: DataFrame) -> DataFrame:
+    out = temporal(planned_scope(candidates(calls), cranes, moves))
     out = target(encoded(congestion(history(storm(out, weather), calls), calls)))
     return out.select("call_id", "eta", "terminal_id", "carrier", *FEATURES, "is_delayed")

@@ -57,6 +57,7 @@ def daily_kpis(enriched: DataFrame) -> DataFrame:
         F.count_if(delayed).alias("delayed_calls"),
         (100.0 * F.count_if(delayed) / F.count("*")).alias("pct_delayed"),
         F.sum("actual_moves").alias("total_moves"),
+        F.sum("total_crane_hours").alias("total_crane_hours"),
         F.sum("valid_crane_hours").alias("crane_hours"),
         safe_divide(F.sum("actual_moves"), F.sum("valid_crane_hours")).alias("moves_per_crane_hour"),
         F.max(F.col("storm_flag").cast("int")).alias("storm_day"),
@@ -64,6 +65,25 @@ def daily_kpis(enriched: DataFrame) -> DataFrame:
     )
 
 
+def kpi_contract(kpis: DataFrame) -> DataFrame:
+    """The daily KPIs under their published names, in their order and rounded."""
+    return kpis.select(
+        "operation_date",
+        "terminal_id",
+        "terminal_name",
+        "vessel_calls",
+        F.round("avg_arrival_delay_minutes", 1).alias("avg_arrival_delay_minutes"),
+        F.round("avg_departure_delay_minutes", 1).alias("avg_departure_delay_minutes"),
+        F.round("pct_delayed", 2).alias("delayed_vessel_percentage"),
+        F.col("total_moves").alias("total_container_moves"),
+        F.round("total_crane_hours", 2).alias("total_crane_hours"),
+        F.round("moves_per_crane_hour", 2).alias("avg_moves_per_crane_hour"),
+        F.round("crane_hours", 2).alias("crane_utilization_hours"),
+        F.col("dq_flags").alias("data_quality_issue_count"),
+        F.col("storm_day").alias("storm_days_count"),
+    )
+
+
 SUMMARY = [
     "call_id", "vessel_id", "terminal_id", "terminal_name", "service_code", "vessel_class", "operation_date", "arrival_delay_minutes",
     "departure_delay_minutes", "delay_category", "planned_moves", "actual_moves", "total_crane_hours", "cranes_deployed", "storm_flag", "total_dq_flags",

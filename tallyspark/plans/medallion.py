@@ -25,7 +25,7 @@ STAGES = [
     Stage("enriched", ("silver_calls", "silver_cranes", "silver_moves", "weather", "terminals"), gold.enrich),
     Stage("daily_kpis", ("enriched",), gold.daily_kpis),
     Stage("call_summary", ("enriched",), gold.call_summary),
-    Stage("features", ("silver_calls", "silver_cranes", "weather"), features.feature_table),
+    Stage("features", ("silver_calls", "silver_cranes", "silver_moves", "weather"), features.feature_table),
 ]
 
 

@@ -43,7 +43,7 @@ _LAYERS = {
   LEFT JOIN weather w ON w.terminal_id = sc.terminal_id AND w.weather_date = date_trunc('day', coalesce(ata, eta))"""),
     "kpi": ("en", """SELECT terminal_id, operation_date, max(terminal_name) AS terminal_name, count(*) AS vessel_calls, avg(arrival_delay_minutes) AS avg_arrival_delay_minutes,
   avg(departure_delay_minutes) AS avg_departure_delay_minutes, count(*) FILTER (arrival_delay_minutes > 30) AS delayed_calls,
-  100.0 * count(*) FILTER (arrival_delay_minutes > 30) / count(*) AS pct_delayed, sum(actual_moves)::BIGINT AS total_moves, sum(valid_crane_hours) AS crane_hours,
+  100.0 * count(*) FILTER (arrival_delay_minutes > 30) / count(*) AS pct_delayed, sum(actual_moves)::BIGINT AS total_moves, sum(total_crane_hours) AS total_crane_hours, sum(valid_crane_hours) AS crane_hours,
   sum(actual_moves) / nullif(sum(valid_crane_hours), 0) AS moves_per_crane_hour, max(storm_flag::INT) AS storm_day, sum(total_dq_flags)::BIGINT AS dq_flags
   FROM en WHERE operation_date IS NOT NULL GROUP BY terminal_id, operation_date"""),
     "past": ("sc", "SELECT * FROM sc WHERE atd IS NOT NULL AND status = 'completed'"),
@@ -171,6 +171,13 @@ def a3_daily_kpis(spark, sf_dir):
     return medallion.from_benchmark(spark, sf_dir, "daily_kpis")[0]
 
 
+@query("kpi", """SELECT operation_date, terminal_id, terminal_name, vessel_calls, round(avg_arrival_delay_minutes, 1) AS avg_arrival_delay_minutes, round(avg_departure_delay_minutes, 1) AS avg_departure_delay_minutes,
+  round(pct_delayed, 2) AS delayed_vessel_percentage, total_moves AS total_container_moves, round(total_crane_hours, 2) AS total_crane_hours, round(moves_per_crane_hour, 2) AS avg_moves_per_crane_hour,
+  round(crane_hours, 2) AS crane_utilization_hours, dq_flags AS data_quality_issue_count, storm_day AS storm_days_count FROM kpi""")
+def a3_p15_p16_kpi_contract(spark, sf_dir):
+    return gold.kpi_contract(medallion.from_benchmark(spark, sf_dir, "daily_kpis")[0])
+
+
 @query("en", """SELECT call_id, vessel_id, terminal_id, terminal_name, carrier AS service_code, vessel_class, operation_date, arrival_delay_minutes, departure_delay_minutes, delay_category,
   planned_moves, actual_moves, total_crane_hours, cranes_deployed, storm_flag, total_dq_flags::BIGINT AS total_dq_flags FROM en""")
 def j1_j2_j3_j4_p8_p12_p16_call_summary(spark, sf_dir):
@@ -217,7 +224,10 @@ def j11_orphans(spark, sf_dir):
 
 report("j12_orphan_rate", "cranes=cranes vessel_calls=vessel_calls", "cranes vessel_calls", "SELECT count(*) AS n, count(*) FILTER (WHERE v.call_id IS NULL) AS orphans, CAST(100 AS DOUBLE) * count(*) FILTER (WHERE v.call_id IS NULL) / count(*) AS pct FROM cranes c LEFT JOIN vessel_calls v ON c.call_id = v.call_id")
 report("d17_flag_cross_check", "sc=silver_calls", "sc", "SELECT count(*) FILTER (WHERE invalid_arrival_sequence_flag) AS flagged, count(*) FILTER (WHERE ata > atd) AS recomputed, count(*) FILTER (WHERE missing_eta_flag <> (eta IS NULL)) AS mismatched FROM sc")
-report("p18_turnaround_bounds", "vessel_calls=vessel_calls", "vessel_calls", "SELECT call_id, CASE WHEN actual_teu < 100 THEN 'too_small' ELSE 'too_large' END AS violation FROM vessel_calls WHERE actual_teu < 100 OR actual_teu > 3000")
+_TURNAROUND = """SELECT call_id, round(hours, 1) AS turnaround_hours, CASE WHEN hours < 1 THEN 'too_short' ELSE 'too_long' END AS violation
+FROM (SELECT call_id, {0} AS hours FROM vessel_calls) x WHERE hours < 1 OR hours > 168"""
+report("p18_turnaround_bounds", "vessel_calls=vessel_calls", "vessel_calls", _TURNAROUND.format("timestampdiff(MICROSECOND, ata, atd) / CAST(3600000000 AS DOUBLE)"), _TURNAROUND.format("date_diff('microsecond', ata, atd) / 3.6e9"))
+report("p18_cargo_bounds", "vessel_calls=vessel_calls", "vessel_calls", "SELECT call_id, CASE WHEN actual_teu < 100 THEN 'too_small' ELSE 'too_large' END AS violation FROM vessel_calls WHERE actual_teu < 100 OR actual_teu > 3000")
 report("p18_p15_cargo_anomalies", "vessel_calls=vessel_calls", "vessel_calls", "SELECT call_id, CAST(actual_teu AS DOUBLE) / nullif(planned_teu, 0) AS ratio FROM vessel_calls WHERE actual_teu > CAST(1.1 AS DOUBLE) * planned_teu")
 report("w10_o3_overlap_partners", "sa=silver_cranes", "sa", """SELECT assignment_id, crane_id, lag(assignment_id) OVER (PARTITION BY crane_id ORDER BY actual_start, actual_end, assignment_id) AS previous_id,
   lag(actual_end) OVER (PARTITION BY crane_id ORDER BY actual_start, actual_end, assignment_id) AS previous_end FROM sa WHERE crane_overlap_flag ORDER BY crane_id, actual_start, actual_end, assignment_id LIMIT 20""")
@@ -289,9 +299,9 @@ def j6_pit_most_recent(spark, sf_dir):
   FROM cand c JOIN past p ON p.terminal_id = c.terminal_id AND p.atd < c.eta AND p.atd >= c.eta - INTERVAL 90 DAY AND p.call_id <> c.call_id GROUP BY c.call_id""")
 def j8_a12_look_back_90_days(spark, sf_dir):
     cand, past, _ = _history(spark, sf_dir)
-    late = F.avg(F.when(F.col("delay_hours") > 0.5, 1.0).otherwise(0.0))
-    past = past.select("terminal_id", "call_id", "atd", "delay_hours")
-    return pit.look_back(cand.select("terminal_id", "call_id", "eta"), past, "terminal_id", "call_id", "eta", "atd", 90, n_past=F.count("*"), avg_delay=F.avg("delay_hours"), late_rate=late)
+    late = F.when(F.col("delay_hours") > 0.5, 1.0).otherwise(0.0)
+    found = pit.look_back(cand, past, "terminal_id", "call_id", "eta", "atd", 90, delay=F.col("delay_hours"), late=late)
+    return found.select("call_id", "n_past", scalar.safe_divide(F.col("delay"), F.col("delay_n")).alias("avg_delay"), (F.col("late") / F.col("n_past")).alias("late_rate"))
 
 
 @query("cand", """SELECT c.call_id, count(p.call_id) AS n_past, avg(p.delay_hours) AS avg_delay, stddev_samp(p.delay_hours) AS std_delay, max(p.atd) AS last_departure
@@ -334,15 +344,15 @@ def f14_encode(spark, sf_dir):
 _FEATURE_SQL = f"""WITH scope AS (SELECT call_id, count(DISTINCT crane_id) AS pc, sum(planned_hours) AS ph FROM sa GROUP BY call_id),
 t AS ({_pit_sql("terminal_id", 10, "avg(delay_hours)")}), s AS ({_pit_sql("carrier", 10, "avg(delay_hours)")}), v AS ({_pit_sql("vessel_id", 1, "max(delay_hours)")}),
 g AS (SELECT c.call_id, count(*) AS n FROM cand c JOIN sc o ON o.terminal_id = c.terminal_id AND o.call_id <> c.call_id AND o.eta <= c.eta AND o.etd >= c.eta GROUP BY c.call_id)
-SELECT c.call_id, c.eta, c.terminal_id, c.carrier, coalesce(pc, 0) AS planned_cranes, coalesce(ph, 0) AS planned_crane_hours, planned_teu::DOUBLE AS vessel_capacity,
+SELECT c.call_id, c.eta, c.terminal_id, c.carrier, coalesce(pc, 0) AS planned_cranes, coalesce(ph, 0) AS planned_crane_hours, coalesce(planned_moves, 0) AS planned_moves, planned_teu::DOUBLE AS vessel_capacity,
   isodow(c.eta) - 1 AS day_of_week, month(c.eta) AS month, (isodow(c.eta) >= 6)::INT AS is_weekend, coalesce(severity > 0.5, false)::INT AS storm_flag,
   t.v AS avg_previous_10_terminal, s.v AS avg_previous_10_service, v.v AS previous_vessel_delay, coalesce(g.n, 0) AS congestion_score,
   right(c.terminal_id, 1)::INT AS terminal_code, left(c.carrier, 1)::INT - 1 AS carrier_code, CASE WHEN arrival_delay_minutes > 120 THEN 1.0 WHEN arrival_delay_minutes IS NOT NULL THEN 0.0 END AS is_delayed
-FROM cand c LEFT JOIN scope USING (call_id) LEFT JOIN t USING (call_id) LEFT JOIN s USING (call_id) LEFT JOIN v USING (call_id) LEFT JOIN g USING (call_id)
+FROM cand c LEFT JOIN scope USING (call_id) LEFT JOIN move_agg USING (call_id) LEFT JOIN t USING (call_id) LEFT JOIN s USING (call_id) LEFT JOIN v USING (call_id) LEFT JOIN g USING (call_id)
 LEFT JOIN weather w ON w.terminal_id = c.terminal_id AND w.weather_date = date_trunc('day', c.eta)"""
 
 
-@query("cand sa weather", _FEATURE_SQL)
+@query("cand sa move_agg weather", _FEATURE_SQL)
 def m1_m9_feature_table(spark, sf_dir):
     return medallion.from_benchmark(spark, sf_dir, "features")[0]
 
@@ -408,6 +418,17 @@ report("w11_severity_lag", "weather=weather", "weather", "SELECT terminal_id, we
 _BERTHS_AT = """SELECT c.call_id, count(o.call_id) AS concurrent_calls, count(o.call_id) FILTER (WHERE o.vessel_class = c.vessel_class) AS same_class
 FROM sc c LEFT JOIN sc o ON o.terminal_id = c.terminal_id AND o.berth_id = c.berth_id AND o.call_id <> c.call_id AND o.eta <= c.eta AND o.atd >= c.eta
 WHERE c.eta IS NOT NULL GROUP BY c.call_id"""
-report("j9b_j10_concurrent_calls", "sc=silver_calls", "sc", _BERTHS_AT)
+
+
+@query("sc", _BERTHS_AT)
+def j9b_j10_concurrent_calls(spark, sf_dir):
+    (calls,) = medallion.from_benchmark(spark, sf_dir, "silver_calls")
+    out = calls.where(F.col("eta").isNotNull()).select("call_id")
+    for name, by in (("concurrent_calls", ("terminal_id", "berth_id")), ("same_class", ("terminal_id", "berth_id", "vessel_class"))):
+        grouped = calls.dropna(subset=list(by)).withColumn("g", F.struct(*by))
+        out = out.join(pit.stabbing_count(grouped, "g", "call_id", "eta", "atd").withColumnRenamed("n", name), "call_id", "left")
+    return out.fillna(0, ["concurrent_calls", "same_class"])
+
+
 report("p25_sql_label", "sc=silver_calls", "sc", "SELECT call_id, CASE WHEN atd IS NULL THEN NULL WHEN delay_hours > 0.5 THEN 1 ELSE 0 END AS label FROM sc")
 report("p11_null_keeping_flag", "en=enriched", "en", "SELECT call_id, severity > 0.5 AS storm_or_null, greatest(coalesce(arrival_delay_minutes, 0), 0) AS clamped FROM en")

@@ -1,8 +1,9 @@
-"""Runs files of SQL statements: python -m tallyspark.plans.sql_runner FILE... [--limit N]."""
+"""Runs files of SQL statements: python -m tallyspark.plans.sql_runner (FILE... | --all FOLDER) [--limit N]."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -51,6 +52,23 @@ def is_query(statement: str) -> bool:
     return not _COMMAND.match(_code(statement))
 
 
+#: Forms of other dialects and what Spark calls them; view definitions become temporary, so that they may stand on temporary views.
+_FORMS = [
+    (re.compile(r"\bread_parquet\s*\(\s*'([^']+)'\s*\)", re.I), r"parquet.`\1`"),
+    (re.compile(r"\bread_csv(?:_auto)?\s*\(\s*'([^']+)'\s*\)", re.I), r"csv.`\1`"),
+    (re.compile(r"\bCREATE\s+(?:OR\s+REPLACE\s+)?VIEW\b", re.I), "CREATE OR REPLACE TEMPORARY VIEW"),
+    (re.compile(r"\*\s*EXCLUDE\s*\(", re.I), "* EXCEPT ("),
+]
+
+
+def translated(statement: str) -> str:
+    """A statement with forms that Spark names otherwise put in its words; strings and comments stay."""
+    parts = re.split(r"(--[^\n]*|/\*.*?\*/)", statement, flags=re.S)
+    for form, words in _FORMS:
+        parts[::2] = [form.sub(words, p) for p in parts[::2]]
+    return "".join(parts)
+
+
 def label(statement: str, width: int = 65) -> str:
     """The first words of the comment before a statement."""
     for line in statement.splitlines():
@@ -87,6 +105,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int = 20) -> list[Result]:
         result = Result(label(statement), is_query(statement))
         out.append(result)
         try:
+            statement = translated(statement)
             copy = _COPY.match(_code(statement))
             if copy:
                 options = dict(re.findall(r"(\w+)\s+(\w+)", copy[3] or ""))
@@ -106,11 +125,13 @@ def run_sql(spark: SparkSession, sql: str, limit: int = 20) -> list[Result]:
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("files", nargs="+")
+    parser.add_argument("files", nargs="*")
+    parser.add_argument("--all", metavar="FOLDER", help="run the folder's .sql files in the order of their names")
     parser.add_argument("--limit", type=int, default=20)
     args = parser.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for path in args.files:
+    found = sorted(os.path.join(args.all, f) for f in os.listdir(args.all) if f.endswith(".sql")) if args.all else []
+    for path in [*args.files, *found]:
         with open(path, encoding="utf-8") as f:
             for r in run_sql(spark, f.read(), args.limit):
                 print(f"\n{r.label}\n" + (f"[skipped: {r.error}]" if r.error else rendered(r.rows, r.columns, r.total - len(r.rows)) if r.query else ""))

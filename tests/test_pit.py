@@ -37,7 +37,7 @@ def test_newest_before(spark, seed):
 def test_look_back(spark):
     data = rows(3)
     df = spark.createDataFrame(data, SCHEMA)
-    got = {r.k: r.n for r in pit.look_back(df.select("k", "g", "eta"), df.select("k", "g", "atd", "v"), "g", "k", "eta", "atd", 3, n=F.count("*")).collect()}
+    got = {r.k: r.n_past for r in pit.look_back(df.select("k", "g", "eta"), df.select("k", "g", "atd", "v"), "g", "k", "eta", "atd", 3).collect()}
     for k, g, eta, _, _ in data:
         assert got.get(k, 0) == sum(1 for p in data if p[1] == g and p[0] != k and p[3] and eta - timedelta(days=3) <= p[3] < eta)
 
@@ -64,3 +64,24 @@ def test_no_feature_tells_the_outcome():
 def test_target(spark):
     df = spark.createDataFrame([(119.0,), (120.0,), (121.0,), (None,), (-30.0,)], "arrival_delay_minutes double")
     assert [r.is_delayed for r in features.target(df).collect()] == [0.0, 0.0, 1.0, None, 0.0]
+
+
+def test_running_totals_across_bins(spark):
+    day = 86400 * 1_000_000
+    rows = [("a", t * 17 * day, t % 2, 1.0 + t) for t in range(12)] + [("b", 5 * day, 0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, t long, tie int, v double")
+    got = {(r.g, r.t): r.v for r in pit.running(df, "g", "t", "tie", "v").collect()}
+    total = 0.0
+    for _, t, _, v in rows[:12]:
+        total += v
+        assert got["a", t] == total
+    assert got["b", 5 * day] == 7.0
+
+
+def test_look_back_takes_itself_off(spark):
+    calls = spark.sql(
+        """SELECT * FROM VALUES (1, 'a', TIMESTAMP_NTZ'2024-01-01', TIMESTAMP_NTZ'2024-01-02', 3D), (2, 'a', TIMESTAMP_NTZ'2024-02-01', TIMESTAMP_NTZ'2024-01-15', 5D),
+        (3, 'a', TIMESTAMP_NTZ'2024-04-01', TIMESTAMP_NTZ'2024-04-03', NULL), (4, 'b', TIMESTAMP_NTZ'2024-02-01', TIMESTAMP_NTZ'2024-02-02', 1D) AS t(k, g, at, done, v)"""
+    )
+    got = {r.k: (r.n_past, r.v, r.v_n) for r in pit.look_back(calls, calls, "g", "k", "at", "done", 90, v=F.col("v")).collect()}
+    assert got == {2: (1, 3.0, 1), 3: (2, 8.0, 2)}

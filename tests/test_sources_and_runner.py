@@ -57,3 +57,25 @@ def test_runner(spark, tmp_path):
 def test_derived_tables_stand_before_the_query():
     sql = port_tables.with_tables("weather", "SELECT 1")
     assert sql.index("terminals AS") < sql.index("vessel_calls AS") < sql.index("weather AS")
+
+
+def test_forms_of_other_dialects(spark, tmp_path):
+    spark.range(3).selectExpr("id", "id * 2 AS twice", "'a' AS tag").write.parquet(str(tmp_path / "t.parquet"))
+    sql = f"""
+-- read_parquet('comment') stays
+CREATE OR REPLACE VIEW v AS SELECT * FROM read_parquet('{tmp_path}/t.parquet');
+-- All but one
+SELECT * EXCLUDE (tag) FROM v ORDER BY id
+"""
+    made, shown = sql_runner.run_sql(spark, sql)
+    assert not made.error and not shown.error
+    assert shown.columns == ["id", "twice"] and shown.rows == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_all_files_of_a_folder(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "b.sql").write_text("-- second\nSELECT 2 AS b;")
+    (tmp_path / "a.sql").write_text("-- first\nSELECT 1 AS a;")
+    monkeypatch.setattr("sys.argv", ["sql_runner", "--all", str(tmp_path)])
+    sql_runner.main()
+    said = capsys.readouterr().out
+    assert said.index("first") < said.index("second")
