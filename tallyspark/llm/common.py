@@ -84,6 +84,16 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that columns of df have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def bound(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound
+from .common import bound, unused
 
 #: Common words of the four languages.
 COMMON = (
@@ -109,17 +109,18 @@ def with_next(df: DataFrame, columns: dict[str, Column], key: str = "doc_id") ->
     Neighbours meet in buckets of the key's range, so one shuffle serves, no
     task sees all rows, and the first row of the next bucket is copied to each.
     """
+    at, is_copy, rank = unused(df, "_bucket", "_copy", "_r")
     keys = df.agg(F.count("*").alias("n")).first()["n"]
     n = max(1, min(MAX_BUCKETS, -(-keys // BUCKET_ROWS)))
     bounds = []
     if n > 1:
         bounds = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10000)).first()[0] or []))
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    base = df.withColumn("_bucket", F.coalesce(F.when(F.col(key).isNull(), F.lit(0)).otherwise(bucket), F.lit(0)))
-    heads = {r[0]: r[1] for r in base.groupBy("_bucket").agg(F.max(key)).collect()}  # one row for each bucket
+    base = df.withColumn(at, F.coalesce(F.when(F.col(key).isNull(), F.lit(0)).otherwise(bucket), F.lit(0)))
+    heads = {r[0]: r[1] for r in base.groupBy(at).agg(F.max(key)).collect()}  # one row for each bucket
     used = sorted(heads)
     above = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}  # where a bucket's first row is the next of the last
-    rows = base.withColumn("_copy", F.lit(0))
+    rows = base.withColumn(is_copy, F.lit(0))
     tops = [h for h in heads.values() if h is not None]
     if used:
         same = F.lit(False)
@@ -128,13 +129,13 @@ def with_next(df: DataFrame, columns: dict[str, Column], key: str = "doc_id") ->
             same = F.col(key).isin(tops)
         if None in heads.values():
             same = same | F.col(key).isNull()
-        moved = F.element_at(F.create_map(*(F.lit(x) for kv in above.items() for x in kv)), F.col("_bucket"))
-        first = Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), *_ties(df))
-        copies = base.where(same).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-        rows = rows.unionByName(copies.withColumn("_bucket", moved).withColumn("_copy", F.lit(1)))
-    order = Window.partitionBy("_bucket").orderBy("_copy", F.col(key).desc_nulls_last(), *_ties(df))
+        moved = F.element_at(F.create_map(*(F.lit(x) for kv in above.items() for x in kv)), F.col(at))
+        first = Window.partitionBy(at).orderBy(F.col(key).desc_nulls_last(), *_ties(df))
+        copies = base.where(same).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+        rows = rows.unionByName(copies.withColumn(at, moved).withColumn(is_copy, F.lit(1)))
+    order = Window.partitionBy(at).orderBy(is_copy, F.col(key).desc_nulls_last(), *_ties(df))
     out = rows.withColumns({name: F.lead(value).over(order) for name, value in columns.items()})
-    return out.where("_copy = 0").drop("_copy", "_bucket")
+    return out.where(F.col(is_copy) == 0).drop(is_copy, at)
 
 
 def _ties(df: DataFrame) -> list[str]:

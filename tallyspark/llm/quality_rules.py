@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, bound, words_of
+from .common import WHITE, bound, unused, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -93,7 +93,8 @@ def line_fails(line: Column) -> Column:
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts of the base rules, the cleaned text, and the verdicts base_failed and kept."""
+    """Adds the counts of the base rules, the cleaned text, and the verdicts base_failed and kept; other columns pass."""
+    by_word, by_line = unused(df, "_words", "_lines")
     raw = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(raw, "\n"), lambda s: s.rlike(f"[^{WHITE}]"))
     judged = F.transform(lines, lambda s: F.struct(s.alias("line"), F.regexp_count(s, F.lit(f"[^{WHITE}]+")).alias("n"), line_fails(s).alias("fails")))
@@ -107,16 +108,16 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
         F.array_join(F.transform(F.filter(ls, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
     )
     out = df.withColumns({
-        "_words": bound(words_of(F.col(text)), per_words),
-        "_lines": bound(judged, per_lines),
+        by_word: bound(words_of(F.col(text)), per_words),
+        by_line: bound(judged, per_lines),
         "word_chars": (F.length(raw) - F.regexp_count(raw, F.lit(f"[{WHITE}]"))).cast("long"),
         "n_symbols": F.regexp_count(raw, F.lit(SYMBOLS)).cast("long"),
     })
     out = out.withColumns({
-        "n_words": F.col("_words")["n"],
-        "n_repeat_words": F.col("_words")["repeated"],
-        **{c: F.col("_lines")[c] for c in ("n_dup_lines", "n_lines", "n_failed_lines", "n_lost_words", "clean_text")},
-    }).drop("_words", "_lines")
+        "n_words": F.col(by_word)["n"],
+        "n_repeat_words": F.col(by_word)["repeated"],
+        **{c: F.col(by_line)[c] for c in ("n_dup_lines", "n_lines", "n_failed_lines", "n_lost_words", "clean_text")},
+    }).drop(by_word, by_line)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_lost_words") * 100 <= F.col("n_words") * MAX_LOST_PERCENT)

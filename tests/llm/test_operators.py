@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tallyspark.llm.queries")
 
@@ -79,6 +80,14 @@ def test_quality_rules_lines(spark):
     assert not got[3].kept
 
 
+def test_columns_named_like_helpers_pass(spark):
+    names = ("_words", "_lines", "_bucket", "_copy", "_r", "__r")
+    df = spark.createDataFrame([(i, f"text {i}", *(f"{n}{i}" for n in names)) for i in range(5)], ["doc_id", "text", *names])
+    for out in (quality_rules.clean(df), fingerprints.with_next(df, {"after": F.col("text")})):
+        assert {(r.doc_id, *(r[n] for n in names)) for r in out.collect()} == {(i, *(f"{n}{i}" for n in names)) for i in range(5)}
+    assert {r.doc_id: r.after for r in out.collect()} == {i: f"text {(i - 1) % 5}" for i in range(5)}
+
+
 def brute_classes(rows, percent, width):
     sets = {}
     for i, t in rows:

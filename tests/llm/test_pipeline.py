@@ -1,11 +1,15 @@
 """The pipeline's stages on a small folder of tables."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
+from test_operators import brute_classes, brute_repeats, hf
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -32,23 +36,56 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-def test_stages(spark, folder):
+@pytest.fixture(scope="module")
+def staged(spark, folder):
+    """The rows that each stage reads and returns, applied one by one."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    columns, kept = docs.columns, {}
+    columns, out = docs.columns, {}
     for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, folder)
+        made = stage(spark, docs, folder)
         if name != "pack":
-            assert out.columns == columns
-            docs = spark.createDataFrame(out.collect(), out.schema)
-            kept[name] = {r.doc_id: r.text for r in docs.collect()}
+            assert made.columns == columns
+        rows = made.collect()
+        out[name] = ([(r.doc_id, r.text) for r in docs.collect()], rows)
+        docs = spark.createDataFrame(rows, made.schema)
+    return out
+
+
+def test_stages(staged):
+    kept = {name: {r.doc_id: r.text for r in rows} for name, (_, rows) in staged.items() if name != "pack"}
     assert {i for i in range(120) if i % 5} <= set(kept["quality"])
     assert not {i for i in range(0, 120, 5)} & set(kept["quality"])
     assert 503 not in kept["language"] and {i for i in range(120) if i % 5} <= set(kept["language"])
     assert {500, 501} & set(kept["near_duplicates"]) == set() and 502 in kept["near_duplicates"]
     assert len(kept["repeats"][502]) <= len(kept["near_duplicates"][502]) - 200
-    packed = out.collect()
-    assert {r.doc_id for r in packed} == set(kept["repeats"])
 
 
-def test_run_equals_stages(spark, folder):
-    assert pipeline.run(spark, folder).count() > 0
+def test_near_duplicates_keeps_one_of_each_class(staged):
+    read, rows = staged["near_duplicates"]
+    classes = brute_classes(read, pipeline.PERCENT, pipeline.WIDTH)
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((i, t) for i, t in read if classes[i][1] == i)
+
+
+def test_repeats_cuts_what_brute_force_cuts(staged):
+    read, rows = staged["repeats"]
+    expected = {i: (kept.decode(), n) for i, (n, gone, _, kept) in brute_repeats(read).items() if gone < n or n == 0}
+    assert {r.doc_id: r.text for r in rows} == {i: t for i, (t, _) in expected.items()}
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_pack_holds_every_id_once(staged):
+    read, rows = staged["pack"]
+    encode = hf("byte_bpe_50k.json")
+    ids = {i: np.array([*encode(t), 1], "<u4") for i, t in read}
+    ends = dict.fromkeys(ids, 0)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        ends[r.doc_id] += r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert ends == {i: len(x) for i, x in ids.items()}
+
+
+def test_run_equals_stages(spark, folder, staged):
+    ran = pipeline.run(spark, folder).collect()
+    whole = lambda rows: sorted((i, n, sum(r.length for r in rows if r.doc_id == i)) for i, n in {(r.doc_id, r.doc_tokens) for r in rows})
+    assert whole(ran) == whole(staged["pack"][1])
