@@ -14,27 +14,31 @@ WIDTH, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, fitted on this stage's input, rejects."""
+    """Drops documents that the classifier, fitted on this stage's input, rejects; null and empty texts are scored too, repeats alike."""
     held_out = language_id.id_hash(F.col("doc_id")) % 5 == 0
     model = quality_pu.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     return quality_pu.keep(docs, model)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language."""
+    """Drops null text and text without letters.
+
+    A score is a share among the learned languages, so text in any other is
+    given to its nearest one and stays.
+    """
     held_out = language_id.id_hash(F.col("doc_id")) % 4 == 2
     return language_id.keep(docs, language_id.fit(docs.where(~held_out), _path("piece_bpe_32k.model")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group, and documents without an id."""
+    """Keeps the document of least id of each group, and documents without an id or without words; rows that share an id stay or go together."""
     classes = ngram_join.near_duplicate_classes(docs, percent=PERCENT, width=WIDTH)
     gone = classes.where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document holds; documents of which nothing is left go."""
+    """Cuts passages that an earlier document holds; documents of which nothing is left go, null and empty ones stay as empty text."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     cut = suffix_dedup.remove_repeats(docs, carry=rest).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
@@ -56,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, in order; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs, _ = written(stage(spark, docs, sf_dir), name)
