@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,14 @@ def rate_checks(df: DataFrame, checks: list[tuple[str, Column, float | None, flo
     return counted.select(F.inline(F.array(*rows)))
 
 
+def null_audit(df: DataFrame, mandatory: dict[str, bool]) -> DataFrame:
+    """A row for each column that holds nulls, worst first; nulls of a mandatory column fail, others warn."""
+    counted = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in mandatory))
+    rows = F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(must).alias("mandatory"), F.col(f"_{c}").alias("nulls"), "n") for c, must in mandatory.items())))
+    found = counted.select(rows).where("nulls > 0").withColumn("pct", 100.0 * F.col("nulls") / F.col("n"))
+    return found.withColumn("verdict", F.when(F.col("mandatory"), "FAIL").otherwise("WARN")).orderBy(F.desc("mandatory"), F.desc("pct"), "field")
+
+
 def duplicate_check(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """Rows in groups that share the keys; any fails."""
     n = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("n"))
@@ -86,10 +95,76 @@ def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def report_document(checks: DataFrame) -> dict:
-    """The report as a document: one row for each check comes to the driver."""
+#: What each check looks at, and its bounds, strictly above which it warns or fails.
+RULES = {
+    "duplicate_calls": ("Rows of the silver calls that share an id", {"fail_rows": 0}),
+    "missing_eta": ("Calls without an estimated arrival", {"warn_pct": 5, "fail_pct": 15}),
+    "missing_ata": ("Calls without an actual arrival", {"warn_pct": 10, "fail_pct": 25}),
+    "invalid_arrival_sequence": ("Calls that depart before they arrive", {"warn_rows": 0}),
+    "invalid_departure_sequence": ("Calls planned to depart before they arrive", {"warn_rows": 0}),
+    "large_delay_outliers": ("Calls whose delay is beyond the outlier fence", {"warn_pct": 1, "fail_pct": 5}),
+    "crane_end_before_start": ("Crane assignments that end before they start or lack a time", {"warn_pct": 2, "fail_pct": 10}),
+    "crane_overlaps": ("Crane assignments that meet another of the same crane", {"warn_pct": 5, "fail_pct": 15}),
+    "orphan_crane_assignments": ("Crane assignments of calls that silver doesn't have", {"fail_rows": 0}),
+    "call_summary_grain": ("Rows of the call summary that share a call", {"fail_rows": 0}),
+    "terminal_kpi_grain": ("Rows of the daily KPIs that share a terminal and a day", {"fail_rows": 0}),
+    "ml_feature_nulls": ("Null values of the model's features", {"static": {"warn_pct": 0, "fail_pct": 5}, "historical": {"warn_pct": 15, "fail_pct": 50}}),
+    "target_distribution": ("Share of delayed calls among labelled ones", {"warn_below_pct": 5, "warn_pct": 60, "fail_pct": 95}),
+    "cross_layer_counts": ("Distinct calls of silver, gold and features", {"warn": "gold differs from silver", "fail": "features exceed silver"}),
+}
+
+
+def sampled(rows: DataFrame, name: str, key: str, most: int = 10) -> DataFrame:
+    """One row: the check's name, how many distinct keys its rows have, and the least ten of them; null keys don't count."""
+    ids = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id")).distinct()
+    first = ids.orderBy("id").limit(most).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sample"))
+    return ids.agg(F.count("*").alias("affected")).crossJoin(first).select(F.lit(name).alias("name"), "affected", "sample")  # one row each
+
+
+def details(calls: DataFrame, cranes: DataFrame) -> DataFrame:
+    """Sample keys of the checks that point at rows; for overlaps the cranes, for orphans the calls."""
+    shared = calls.groupBy("call_id").count().where("count > 1")
+    return report(
+        sampled(shared, "duplicate_calls", "call_id"),
+        sampled(calls.where("invalid_arrival_sequence_flag"), "invalid_arrival_sequence", "call_id"),
+        sampled(calls.where("large_delay_outlier_flag"), "large_delay_outliers", "call_id"),
+        sampled(cranes.where("crane_overlap_flag"), "crane_overlaps", "crane_id"),
+        sampled(cranes.join(calls.select("call_id").distinct(), "call_id", "left_anti"), "orphan_crane_assignments", "call_id"),
+    )
+
+
+def report_document(checks: DataFrame, details: DataFrame | None = None, columns: DataFrame | None = None) -> dict:
+    """The report as a document: one row for each check comes to the driver, and one for each detail or feature column."""
     rows = checks.collect()
+    found = {r["name"]: {"affected": r["affected"], "sample": [x for x in r["sample"].split(",") if x]} for r in (details.collect() if details is not None else [])}
+    if columns is not None:
+        found["ml_feature_nulls"] = {"per_column": {r["name"]: {"n": r["n"], "rate_pct": r["value"], "status": r["status"]} for r in columns.collect()}}
     statuses = [r["status"] for r in rows]
     overall = next((s for s in ("FAIL", "WARN") if s in statuses), "PASS")
-    summary = {"total": len(rows), **{s.lower(): statuses.count(s) for s in ("PASS", "WARN", "FAIL")}}
-    return {"overall_status": overall, "summary": summary, "checks": {r["name"]: {"status": r["status"], "value": r["value"], "detail": {"n": r["n"]}} for r in rows}}
+    counts = {"total_checks": len(rows)} | {k: statuses.count(s) for k, s in (("passed", "PASS"), ("warned", "WARN"), ("failed", "FAIL"))}
+    out = {"run_timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "overall_status": overall, "summary": counts, "checks": {}}
+    for r in rows:
+        description, threshold = RULES.get(r["name"], ("", None))
+        out["checks"][r["name"]] = {
+            "status": r["status"], "description": description, "value": r["value"], "threshold": threshold, "detail": {"n": r["n"]} | found.get(r["name"], {}),
+        }
+    return out
+
+
+def rendered(document: dict) -> str:
+    """The report for a console: a line for each check, then what is known of those that didn't pass."""
+    n = document["summary"]
+    lines = [f"Overall {document['overall_status']}: {n['total_checks']} checks, {n['passed']} passed, {n['warned']} warned, {n['failed']} failed", ""]
+    for name, c in document["checks"].items():
+        rate = isinstance(c["threshold"], dict) and any("pct" in k for k in c["threshold"])
+        value = f"{c['detail']['n']} rows ({c['value']} %)" if rate else f"{c['detail']['n']} rows"
+        lines.append(f"{name.replace('_', ' '):<30}  {c['status']:<4}  {value}")
+    for name, c in document["checks"].items():
+        if c["status"] == "PASS":
+            continue
+        lines += ["", f"[{c['status']}] {name}: {c['description']}"]
+        detail = c["detail"]
+        if detail.get("sample"):
+            lines.append(f"  {detail['affected']} affected, such as {', '.join(detail['sample'])}")
+        lines += [f"  {k}: {v['n']} nulls ({v['rate_pct']} %) {v['status']}" for k, v in detail.get("per_column", {}).items() if v["status"] != "PASS"]
+    return "\n".join(lines)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ordinal, true_or_false
+from ..functions.scalar import iso_weekday, ordinal, safe_divide, true_or_false
+from ..functions.timing import minutes, night
 from . import pit
 
 #: Vocabularies in the order of their codes, and the label's threshold in minutes.
@@ -67,3 +68,66 @@ def feature_table(calls: DataFrame, cranes: DataFrame, moves: DataFrame, weather
     out = temporal(planned_scope(candidates(calls), cranes, moves))
     out = target(encoded(congestion(history(storm(out, weather), calls), calls)))
     return out.select("call_id", "eta", "terminal_id", "carrier", *FEATURES, "is_delayed")
+
+
+def described(df: DataFrame) -> DataFrame:
+    """Count, mean and deviation of every feature, from one aggregate."""
+    stats = lambda f: F.struct(F.lit(f).alias("feature"), F.count(f).alias("n"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"))
+    return df.agg(F.array(*map(stats, FEATURES)).alias("rows")).select(F.inline("rows"))
+
+
+#: More days than any history spans.
+ALL_DAYS = 36_500
+LATE_HOURS = 0.5
+
+
+def past_rates(df: DataFrame, past: DataFrame, group: str, days: int, name: str) -> DataFrame:
+    """For each call with history: how many calls of its group departed in the days before its eta, the share of late ones, mean delay and mean stay."""
+    late = F.when(F.col("delay_hours") > LATE_HOURS, 1.0).otherwise(0.0)
+    values = {"late": late, "delay": F.col("delay_hours"), "stay": minutes(F.col("ata"), F.col("atd"))}
+    found = pit.look_back(df, past, group, "call_id", "eta", "atd", days, **values)
+    return found.select(
+        "call_id",
+        F.col("n_past").alias(f"{name}_calls"),
+        (F.col("late") / F.col("n_past")).alias(f"{name}_delay_rate"),
+        safe_divide(F.col("delay"), F.col("delay_n")).alias(f"{name}_avg_delay_h"),
+        (safe_divide(F.col("stay"), F.col("stay_n")) / 60).alias(f"{name}_avg_turnaround_h"),
+    )
+
+
+def history_table(calls: DataFrame, weather: DataFrame) -> DataFrame:
+    """The second feature table: rates of the vessel's whole history and of the terminal's last 90 days, other calls in port, weather, calendar, label.
+
+    Where history lacks, counts and rates are 0 and a stay is the planned one.
+    """
+    df, past = candidates(calls), calls.where(F.col("atd").isNotNull())
+    in_port = pit.stabbing_count(calls, "terminal_id", "call_id", "eta", "atd").withColumnRenamed("n", "concurrent_calls")
+    day = weather.select("terminal_id", F.date_trunc("day", "weather_date").alias("_day"), F.col("severity").alias("weather_severity"))
+    out = df.withColumn("_day", F.date_trunc("day", "eta")).join(day, ["terminal_id", "_day"], "left").drop("_day")
+    for more in (past_rates(df, past, "vessel_id", ALL_DAYS, "vessel"), past_rates(df, past, "terminal_id", 90, "terminal"), in_port):
+        out = out.join(more, "call_id", "left")
+    zero = ["vessel_calls", "vessel_delay_rate", "vessel_avg_delay_h", "terminal_calls", "terminal_delay_rate", "concurrent_calls", "weather_severity"]
+    out = out.fillna(0, zero).withColumns({f"{g}_avg_turnaround_h": F.coalesce(f"{g}_avg_turnaround_h", "planned_turnaround_hours") for g in ("vessel", "terminal")})
+    eta, late = F.col("eta"), F.col("delay_hours") > LATE_HOURS
+    return out.select(
+        "call_id", "eta", "vessel_class", "carrier", "planned_turnaround_hours", *zero[:3], "vessel_avg_turnaround_h", *zero[3:5], "terminal_avg_turnaround_h", *zero[5:],
+        (F.col("weather_severity") > 0.5).cast("int").alias("storm_at_eta"), F.month(eta).alias("eta_month"), iso_weekday(eta).alias("eta_dow"), F.hour(eta).alias("eta_hour"),
+        (F.weekday(eta) >= 5).cast("int").alias("is_weekend"), night(eta).cast("int").alias("is_night_arrival"), F.when(F.col("atd").isNotNull(), true_or_false(late).cast("int")).alias("is_delayed"),
+    )
+
+
+def severity_before(calls: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather at each call's eta, and the severity in the row before it among its terminal's joined rows by (day, call).
+
+    That row is another call of the same day, or else of the last day with a
+    call, so a window within the day and one over the days take the place of
+    one over all rows of the terminal.
+    """
+    day = weather.select("terminal_id", F.date_trunc("day", "weather_date").alias("day"), "severity")
+    met = candidates(calls).withColumn("day", F.date_trunc("day", "eta")).join(day, ["terminal_id", "day"], "left")
+    days = met.groupBy("terminal_id", "day").agg(F.max("severity").alias("s")).where(F.col("s").isNotNull())
+    days = days.select("terminal_id", "day", F.lag("s").over(Window.partitionBy("terminal_id").orderBy("day")).alias("last_day"))
+    nth = F.row_number().over(Window.partitionBy("terminal_id", "day").orderBy("call_id"))
+    before = F.when(F.col("nth") > 1, F.col("severity")).otherwise(F.col("last_day"))
+    out = met.withColumn("nth", nth).join(days, ["terminal_id", "day"], "left")
+    return out.select("call_id", "severity", (F.col("severity") > 0.5).alias("storm_at_eta"), before.alias("previous_severity"))

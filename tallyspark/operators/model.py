@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -9,6 +11,8 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 
 def labelled(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull())
@@ -97,3 +101,13 @@ def train(df: DataFrame, features: list[str], label: str, at: str, key: str, tre
 
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def save_outputs(found: dict, folder: str) -> None:
+    """Writes what train() returns: metrics as a document, importances as CSV, both models."""
+    table = found["importances"]
+    now = datetime.datetime.now(datetime.UTC).isoformat()
+    files.write_json(table.sparkSession, {"run_timestamp": now, "split": found["split"], "metrics": found["metrics"]}, f"{folder}/model_metrics")
+    files.write_csv(table, f"{folder}/feature_importance")
+    for name, fitted in found["models"].items():
+        save(fitted, f"{folder}/models/{name}")

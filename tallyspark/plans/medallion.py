@@ -1,13 +1,16 @@
-"""The layers in order: bronze, silver, gold, features, checks."""
+"""The layers in order: bronze, silver, gold, features, checks.  python -m tallyspark.plans.medallion TABLES OUT [STAGE...] [--again] writes them."""
 
 from __future__ import annotations
 
+import argparse
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import checks, features, gold, silver
+from ..operators import checks, features, gold, model, silver
+from ..sources import files
+from ..sources.bronze import exists
 from . import port_tables
 
 
@@ -53,11 +56,15 @@ def from_benchmark(spark: SparkSession, sf_dir: str, *wanted: str) -> list[DataF
     return [made[w] for w in wanted]
 
 
+def feature_nulls(feats: DataFrame) -> DataFrame:
+    """The null checks of each feature; history may be short."""
+    historical = ["avg_previous_10_terminal", "avg_previous_10_service", "previous_vessel_delay"]
+    return checks.feature_checks(feats, [f for f in features.FEATURES if f not in historical], historical)
+
+
 def quality_report(calls: DataFrame, cranes: DataFrame, summary: DataFrame, kpis: DataFrame, feats: DataFrame) -> DataFrame:
     """The fourteen checks as rows."""
-    historical = ["avg_previous_10_terminal", "avg_previous_10_service", "previous_vessel_delay"]
-    static = [f for f in features.FEATURES if f not in historical]
-    nulls = checks.feature_checks(feats, static, historical)
+    nulls = feature_nulls(feats)
     worst = nulls.groupBy().agg(checks.F.sum("n").alias("n"), checks.F.max("value").alias("value"), checks.worst(checks.F.col("status")).alias("status"))
     return checks.report(
         checks.duplicate_check(calls, "duplicate_calls", "call_id"),
@@ -70,3 +77,65 @@ def quality_report(calls: DataFrame, cranes: DataFrame, summary: DataFrame, kpis
         checks.target_check(feats, "is_delayed"),
         checks.layer_check(calls, summary, feats, "call_id"),
     )
+
+
+#: The time that a layer's files were written, which its readers leave out.
+STAMP = "_written_ts"
+
+
+def run(spark: SparkSession, tables: dict[str, DataFrame], folder: str, *wanted: str, again: bool = False) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Writes the wanted stages, and what they need, as Parquet under a folder; returns the tables, and "made" or "kept" for each stage.
+
+    A stage whose files are complete is kept, unless one that it needs was made
+    in this run or again is set.
+    """
+    out, said = dict(tables), {}
+    by_name = {s.name: s for s in STAGES}
+
+    def need(name: str) -> None:
+        if name in out:
+            return
+        stage, path = by_name[name], f"{folder}/{name}"
+        for n in stage.needs:
+            need(n)
+        kept = not again and exists(spark, f"{path}/_SUCCESS") and "made" not in {said.get(n) for n in stage.needs}
+        if not kept:
+            files.write_layer(stage.build(*(out[n] for n in stage.needs)), path, STAMP)
+        out[name], said[name] = spark.read.parquet(path).drop(STAMP), "kept" if kept else "made"
+
+    for name in wanted or by_name:
+        need(name)
+    return out, said
+
+
+def write_outputs(spark: SparkSession, made: dict[str, DataFrame], folder: str, trees: int = 300) -> dict:
+    """The KPI sample, the report on quality and the model's outputs, from all stages; returns the report."""
+    kpis = gold.kpi_contract(made["daily_kpis"])
+    files.write_csv_sample(kpis, f"{folder}/terminal_kpi_sample", ["operation_date", "terminal_id"])
+    calls, cranes, feats = made["silver_calls"], made["silver_cranes"], made["features"]
+    rows = quality_report(calls, cranes, made["call_summary"], made["daily_kpis"], feats)
+    document = checks.report_document(rows, checks.details(calls, cranes), feature_nulls(feats))
+    files.write_json(spark, document, f"{folder}/data_quality_report")
+    model.save_outputs(model.train(feats, features.FEATURES, "is_delayed", "eta", "call_id", trees), folder)
+    return document
+
+
+def main(argv: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description=__doc__)
+    parser.add_argument("tables", help="folder of the benchmark's tables")
+    parser.add_argument("out")
+    parser.add_argument("stages", nargs="*", help="all, and the outputs, where none is named")
+    parser.add_argument("--again", action="store_true", help="make stages whose files are complete, too")
+    parser.add_argument("--trees", type=int, default=300)
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    names = list(port_tables.TABLES)
+    made, said = run(spark, dict(zip(names, port_tables.load(spark, args.tables, *names))), args.out, *args.stages, again=args.again)
+    for name, how in said.items():
+        print(f"{name}: {how}")
+    if not args.stages:
+        print(checks.rendered(write_outputs(spark, made, f"{args.out}/outputs", args.trees)))
+
+
+if __name__ == "__main__":
+    main()

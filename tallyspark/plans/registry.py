@@ -210,10 +210,35 @@ def a21_u2_source_freshness(spark, sf_dir):
 
 # --- data quality -----------------------------------------------------------
 
-report("a17_u1_null_audit", "vessel_calls=vessel_calls", "vessel_calls", """WITH n AS (SELECT 'eta' AS field, count(*) - count(eta) AS nulls, count(*) AS n FROM vessel_calls
-  UNION ALL SELECT 'ata', count(*) - count(ata), count(*) FROM vessel_calls UNION ALL SELECT 'etd', count(*) - count(etd), count(*) FROM vessel_calls
-  UNION ALL SELECT 'atd', count(*) - count(atd), count(*) FROM vessel_calls UNION ALL SELECT 'delay_hours', count(*) - count(delay_hours), count(*) FROM vessel_calls)
-SELECT field, nulls, CAST(100 AS DOUBLE) * nulls / n AS pct, CASE WHEN nulls = 0 THEN 'PASS' WHEN CAST(100 AS DOUBLE) * nulls / n <= 5 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM n""")
+_AUDITED = {"call_id": True, "vessel_id": True, "terminal_id": True, "eta": False, "ata": False, "etd": False, "atd": False, "delay_reason": False, "planned_teu": False}
+_NULLS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS field, {str(must).lower()} AS mandatory, count(*) - count({c}) AS nulls, count(*) AS n FROM vessel_calls" for c, must in _AUDITED.items())
+
+
+@query("vessel_calls", f"""SELECT *, 100.0 * nulls / n AS pct, CASE WHEN mandatory THEN 'FAIL' ELSE 'WARN' END AS verdict FROM ({_NULLS_SQL}) x WHERE nulls > 0""")
+def a17_null_audit(spark, sf_dir):
+    """One pass over the table, in place of a scan for each column."""
+    (calls,) = port_tables.load(spark, sf_dir, "vessel_calls")
+    return checks.null_audit(calls, _AUDITED)
+
+
+@query("sc sa", " UNION ALL ".join(f"""SELECT '{name}' AS name, (SELECT count(DISTINCT {key}) FROM {rows}) AS affected,
+  coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT DISTINCT {key}::VARCHAR AS id FROM {rows} AND {key} IS NOT NULL ORDER BY id LIMIT 10)), '') AS sample""" for name, key, rows in (
+    ("duplicate_calls", "call_id", "sc WHERE call_id IN (SELECT call_id FROM sc GROUP BY call_id HAVING count(*) > 1)"),
+    ("invalid_arrival_sequence", "call_id", "sc WHERE invalid_arrival_sequence_flag"),
+    ("large_delay_outliers", "call_id", "sc WHERE large_delay_outlier_flag"),
+    ("crane_overlaps", "crane_id", "sa WHERE crane_overlap_flag"),
+    ("orphan_crane_assignments", "call_id", "sa WHERE call_id NOT IN (SELECT call_id FROM sc)"),
+)))
+def d8_d9_o6_check_samples(spark, sf_dir):
+    return checks.details(*medallion.from_benchmark(spark, sf_dir, "silver_calls", "silver_cranes"))
+
+
+@query("sc fence", """SELECT call_id, terminal_id, delay_reason, delay_hours, (SELECT fence FROM fence) AS outlier_threshold_hours, large_delay_outlier_flag AS flagged_in_silver
+  FROM sc WHERE delay_hours > (SELECT fence FROM fence)""")
+def d17_outlier_recompute(spark, sf_dir):
+    (calls,) = medallion.from_benchmark(spark, sf_dir, "silver_calls")
+    fenced = calls.crossJoin(F.broadcast(silver.tukey_fence(calls, "delay_hours"))).where("delay_hours > fence")  # the fence is one row
+    return fenced.select("call_id", "terminal_id", "delay_reason", "delay_hours", F.col("fence").alias("outlier_threshold_hours"), F.col("large_delay_outlier_flag").alias("flagged_in_silver"))
 
 
 @query("cranes vessel_calls", "SELECT c.assignment_id, c.call_id FROM cranes c LEFT JOIN vessel_calls v USING (call_id) WHERE v.call_id IS NULL")
@@ -308,12 +333,12 @@ def j8_a12_look_back_90_days(spark, sf_dir):
   FROM cand c LEFT JOIN past p ON p.vessel_id = c.vessel_id AND p.atd < c.eta AND p.call_id <> c.call_id GROUP BY c.call_id""")
 def j7_a11_w14_vessel_history(spark, sf_dir):
     cand, past, _ = _history(spark, sf_dir)
-    c = cand.select("call_id", "vessel_id", "eta").alias("c")
-    p = past.select("call_id", "vessel_id", "atd", "delay_hours").alias("p")
-    met = c.join(p, (F.col("p.vessel_id") == F.col("c.vessel_id")) & (F.col("p.atd") < F.col("c.eta")) & (F.col("p.call_id") != F.col("c.call_id")), "left")
-    return met.groupBy("c.call_id").agg(
-        F.count("p.call_id").alias("n_past"), F.avg("p.delay_hours").alias("avg_delay"), F.stddev_samp("p.delay_hours").alias("std_delay"), F.max("p.atd").alias("last_departure")
-    )
+    sums = pit.look_back(cand, past, "vessel_id", "call_id", "eta", "atd", features.ALL_DAYS, delay=F.col("delay_hours"), square=F.col("delay_hours") * F.col("delay_hours"))
+    last = pit.most_recent(cand, past, "vessel_id", "call_id", "eta", "atd", "atd").withColumnRenamed("most_recent", "last_departure")
+    n, total, square = F.col("delay_n"), F.col("delay"), F.col("square")
+    spread = F.sqrt(F.greatest(square - total * total / n, F.lit(0.0)) / F.when(n > 1, n - 1))
+    out = cand.select("call_id").join(sums, "call_id", "left").join(last, "call_id", "left")
+    return out.select("call_id", F.coalesce("n_past", F.lit(0)).cast("long").alias("n_past"), scalar.safe_divide(total, n).alias("avg_delay"), F.when(n > 0, spread).alias("std_delay"), "last_departure")
 
 
 @query("sc", """SELECT c.call_id, count(o.call_id) AS n FROM sc c LEFT JOIN sc o ON o.terminal_id = c.terminal_id AND o.call_id <> c.call_id AND o.eta <= c.eta AND o.etd >= c.eta
@@ -377,7 +402,41 @@ def m12_m15_models(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
-report("a32_describe", "sc=silver_calls", "sc", "SELECT 'delay_hours' AS feature, count(delay_hours) AS n, avg(delay_hours) AS mean, stddev_samp(delay_hours) AS std FROM sc UNION ALL SELECT 'arrival_delay_minutes', count(arrival_delay_minutes), avg(arrival_delay_minutes), stddev_samp(arrival_delay_minutes) FROM sc")
+_DESCRIBED = " UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n, avg({f}) AS mean, stddev_samp({f}) AS std FROM ft" for f in features.FEATURES)
+
+
+@query("cand sa move_agg weather", f"WITH ft AS MATERIALIZED ({_FEATURE_SQL}) {_DESCRIBED}")
+def a32_describe(spark, sf_dir):
+    """Every feature in one pass."""
+    return features.described(medallion.from_benchmark(spark, sf_dir, "features")[0])
+
+
+_RATES = "count(*) AS n, avg(CASE WHEN p.delay_hours > 0.5 THEN 1.0 ELSE 0.0 END) AS rate, avg(p.delay_hours) AS delay, avg(date_diff('microsecond', p.ata, p.atd) / 6e7) / 60 AS stay"
+
+
+@query("cand weather", f"""WITH vf AS (SELECT c.call_id, {_RATES} FROM cand c JOIN sc p ON p.vessel_id = c.vessel_id AND p.atd < c.eta AND p.call_id <> c.call_id GROUP BY c.call_id),
+tf AS (SELECT c.call_id, {_RATES} FROM cand c JOIN sc p ON p.terminal_id = c.terminal_id AND p.atd < c.eta AND p.atd >= c.eta - INTERVAL 90 DAY AND p.call_id <> c.call_id GROUP BY c.call_id),
+bf AS (SELECT c.call_id, count(*) AS n FROM cand c JOIN sc o ON o.terminal_id = c.terminal_id AND o.call_id <> c.call_id AND o.eta <= c.eta AND o.atd >= c.eta GROUP BY c.call_id)
+SELECT c.call_id, c.eta, c.vessel_class, c.carrier, c.planned_turnaround_hours, coalesce(vf.n, 0) AS vessel_calls, coalesce(vf.rate, 0) AS vessel_delay_rate, coalesce(vf.delay, 0) AS vessel_avg_delay_h,
+  coalesce(vf.stay, c.planned_turnaround_hours) AS vessel_avg_turnaround_h, coalesce(tf.n, 0) AS terminal_calls, coalesce(tf.rate, 0) AS terminal_delay_rate,
+  coalesce(tf.stay, c.planned_turnaround_hours) AS terminal_avg_turnaround_h, coalesce(bf.n, 0) AS concurrent_calls, coalesce(w.severity, 0) AS weather_severity, coalesce(w.severity > 0.5, false)::INT AS storm_at_eta,
+  month(c.eta) AS eta_month, isodow(c.eta) AS eta_dow, hour(c.eta) AS eta_hour, (isodow(c.eta) >= 6)::INT AS is_weekend, (hour(c.eta) >= 20 OR hour(c.eta) < 6)::INT AS is_night_arrival,
+  CASE WHEN c.atd IS NULL THEN NULL WHEN c.delay_hours > 0.5 THEN 1 ELSE 0 END AS is_delayed
+FROM cand c LEFT JOIN vf USING (call_id) LEFT JOIN tf USING (call_id) LEFT JOIN bf USING (call_id) LEFT JOIN weather w ON w.terminal_id = c.terminal_id AND w.weather_date = date_trunc('day', c.eta)""")
+def m10_j17_history_table(spark, sf_dir):
+    return features.history_table(*medallion.from_benchmark(spark, sf_dir, "silver_calls", "weather"))
+
+
+@query("cand weather", """SELECT c.call_id, severity, severity > 0.5 AS storm_at_eta, lag(severity) OVER (PARTITION BY w.terminal_id ORDER BY w.weather_date, c.call_id) AS previous_severity
+FROM cand c LEFT JOIN weather w ON w.terminal_id = c.terminal_id AND date_trunc('day', w.weather_date) = date_trunc('day', c.eta)""")
+def w11_severity_lag_of_joined_rows(spark, sf_dir):
+    return features.severity_before(*medallion.from_benchmark(spark, sf_dir, "silver_calls", "weather"))
+
+
+report("j18_w14_fan_out_window", "sc=silver_calls", "sc", """WITH met AS (SELECT c.call_id, c.vessel_id, c.eta, p.call_id AS past_id, p.atd AS past_atd FROM sc c LEFT JOIN sc p ON p.vessel_id = c.vessel_id AND p.atd < c.eta
+  WHERE c.eta IS NOT NULL AND NOT c.invalid_arrival_sequence_flag)
+SELECT call_id, past_id, max(past_atd) OVER (PARTITION BY vessel_id ORDER BY eta, call_id, past_atd, past_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_departure FROM met""")
+report("p24_all_but", "sc=silver_calls", "sc", "SELECT * EXCEPT (delay_hours, actual_teu, planned_teu) FROM sc WHERE large_delay_outlier_flag", "SELECT * EXCLUDE (delay_hours, actual_teu, planned_teu) FROM sc WHERE large_delay_outlier_flag")
 
 # --- business reports -------------------------------------------------------
 

@@ -69,6 +69,48 @@ def translated(statement: str) -> str:
     return "".join(parts)
 
 
+_BY_NAME = re.compile(r"\bUNION\s+ALL\s+BY\s+NAME\b", re.I)
+_HIDDEN = re.compile(r"--[^\n]*|/\*.*?\*/|'[^']*'|\"[^\"]*\"|`[^`]*`", re.S)
+
+
+def by_position(statement: str, columns_of) -> str:
+    """UNION ALL BY NAME as unions by position: columns in the order of their first part, NULL where a part lacks one.
+
+    columns_of names the columns of a part, which must stand by itself.  An
+    ORDER BY after the last part sorts the whole union.
+    """
+    while True:
+        plain = _HIDDEN.sub(lambda m: " " * len(m[0]), statement)
+        found = list(_BY_NAME.finditer(plain))
+        if not found:
+            return statement
+        # the innermost scope that holds the last of them
+        depth, start = 0, found[-1].start()
+        while start > 0 and depth >= 0:
+            start -= 1
+            depth += {")": 1, "(": -1}.get(plain[start], 0)
+        start += depth < 0
+        depth, end = 0, found[-1].end()
+        while end < len(plain) and depth >= 0:
+            depth += {"(": 1, ")": -1}.get(plain[end], 0)
+            end += 1
+        end -= depth < 0
+        cuts, at = [], start
+        inner = lambda i: plain.count("(", start, i) == plain.count(")", start, i)
+        for m in found:
+            if start <= m.start() < end and inner(m.start()):
+                cuts.append(statement[at : m.start()])
+                at = m.end()
+        last = [m.start() for m in re.finditer(r"\bORDER\s+BY\b", plain, re.I) if at <= m.start() < end and inner(m.start())]
+        until = last[0] if last else end
+        parts = [*cuts, statement[at:until]]
+        has = [columns_of(_code(p)) for p in parts]
+        names = list(dict.fromkeys(c for cols in has for c in cols))
+        picked = [", ".join(f"`{c}`" if c in cols else f"NULL AS `{c}`" for c in names) for cols in has]
+        union = " UNION ALL ".join(f"SELECT {cols} FROM ({_code(p)}\n)" for cols, p in zip(picked, parts))
+        statement = f"{statement[:start]}{union} {statement[until:end]}{statement[end:]}"
+
+
 def label(statement: str, width: int = 65) -> str:
     """The first words of the comment before a statement."""
     for line in statement.splitlines():
@@ -105,7 +147,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int = 20) -> list[Result]:
         result = Result(label(statement), is_query(statement))
         out.append(result)
         try:
-            statement = translated(statement)
+            statement = by_position(translated(statement), lambda part: spark.sql(part).columns)
             copy = _COPY.match(_code(statement))
             if copy:
                 options = dict(re.findall(r"(\w+)\s+(\w+)", copy[3] or ""))

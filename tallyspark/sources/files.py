@@ -22,8 +22,13 @@ def write_layer(df: DataFrame, path: str, stamp: str) -> None:
     df.withColumn(stamp, F.current_timestamp()).write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A small table as one file with a header."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_csv_sample(df: DataFrame, path: str, order: list[str], n: int = 60) -> None:
-    df.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    write_csv(df.orderBy(*order).limit(n), path)
 
 
 def write_json(spark: SparkSession, document: dict, path: str) -> None:

@@ -91,4 +91,4 @@ def test_duplicates_and_orphans_fail(spark):
     assert checks.duplicate_check(df.distinct(), "d", "k").first()["status"] == "PASS"
     assert checks.orphan_check(df, df.where("k = 2"), "o", "k").first()["n"] == 2
     doc = checks.report_document(checks.report(checks.duplicate_check(df, "d", "k"), checks.orphan_check(df, df, "o", "k")))
-    assert doc["overall_status"] == "FAIL" and doc["summary"] == {"total": 2, "pass": 1, "warn": 0, "fail": 1}
+    assert doc["overall_status"] == "FAIL" and doc["summary"] == {"total_checks": 2, "passed": 1, "warned": 0, "failed": 1}

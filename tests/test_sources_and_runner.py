@@ -1,7 +1,7 @@
 import pytest
 
 from tallyspark.plans import port_tables, sql_runner
-from tallyspark.sources import bronze, files
+from tallyspark.sources import bronze, files, synthetic
 
 
 def test_ingest(spark, tmp_path):
@@ -79,3 +79,37 @@ def test_all_files_of_a_folder(spark, tmp_path, monkeypatch, capsys):
     sql_runner.main()
     said = capsys.readouterr().out
     assert said.index("first") < said.index("second")
+
+
+def test_unions_by_name(spark):
+    sql = """
+WITH f AS (SELECT 'x' AS name, 1 AS n UNION ALL BY NAME SELECT 2 AS n, 'y' AS name
+  -- UNION ALL BY NAME in a comment
+  UNION ALL BY NAME SELECT 'z' AS name, true AS flag)
+SELECT name, n, flag FROM f ORDER BY name;
+SELECT 1 AS a, 'UNION ALL BY NAME' AS b UNION ALL BY NAME SELECT 'q' AS b, 0 AS a ORDER BY a
+"""
+    one, two = sql_runner.run_sql(spark, sql)
+    assert not one.error and one.rows == [("x", 1, None), ("y", 2, None), ("z", None, True)]
+    assert not two.error and two.rows == [(0, "q"), (1, "UNION ALL BY NAME")]
+
+
+def test_synthetic_sources(spark, tmp_path):
+    raw, out, bad = (f"file://{tmp_path}/{x}" for x in ("raw", "bronze", "quarantine"))
+    synthetic.write_raw(spark, raw, n_calls=3000)
+    results = {r["table"]: r for r in bronze.ingest_all(spark, raw, out, bad)}
+    assert all(r["status"] == "ok" and not r["rows_quarantined"] and not r["coerced"] for r in results.values())
+    calls, cranes, moves = (spark.read.parquet(f"{out}/{n}") for n in ("vessel_calls", "crane_assignments", "container_moves"))
+    n = calls.count()
+    share = lambda df, condition: df.where(condition).count() / df.count()
+    assert results["weather_daily"]["rows_read"] == 731 * 5
+    assert 0.005 < n / 3000 - 1 < 0.02 and calls.select("vessel_call_id").distinct().count() == 3000
+    assert 0.008 < share(calls, "eta IS NULL") < 0.025 and 0.004 < share(calls, "ata IS NULL") < 0.018
+    assert 0.001 < share(calls, "ata > atd") < 0.011 and share(calls, "status = 'in_progress' AND atd IS NOT NULL") == 0
+    assert 0.25 < share(calls, "delay_hours > 0") < 0.7 and share(calls, "etd < eta") == 0
+    assert 0.010 < share(cranes, "actual_start IS NULL") < 0.020 and 0.002 < share(cranes, "actual_end < actual_start") < 0.009
+    assert cranes.select("assignment_id").distinct().count() == cranes.count()
+    assert 0.001 < share(moves, "actual_duration_minutes < 0") < 0.006 and moves.select("move_id").distinct().count() == moves.count()
+    assert cranes.join(calls, "vessel_call_id", "left_anti").isEmpty() and moves.join(cranes, "assignment_id", "left_anti").isEmpty()
+    again = synthetic.tables(spark.newSession(), n_calls=3000)["vessel_calls"].repartition(7)
+    assert sorted(map(tuple, again.select("vessel_call_id", "atd").collect()), key=str) == sorted(map(tuple, calls.select("vessel_call_id", "atd").collect()), key=str)
