@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ FEATURES = [
 ]
 
 
+Hold = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def candidates(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("eta").isNotNull() & ~F.col("invalid_arrival_sequence_flag"))
 
@@ -41,13 +50,12 @@ def storm(df: DataFrame, weather: DataFrame) -> DataFrame:
     return out.withColumn("storm_flag", true_or_false(F.col("severity") > 0.5).cast("int")).drop("_day", "severity")
 
 
-def history(df: DataFrame, calls: DataFrame) -> DataFrame:
+def history(df: DataFrame, calls: DataFrame, hold: Hold = as_is) -> DataFrame:
     past = calls.where(F.col("atd").isNotNull() & (F.col("status") == "completed"))
     args = ("call_id", "eta", "atd", "delay_hours")
-    terminal = pit.rolling_mean(df, past, "terminal_id", *args).withColumnRenamed("rolling_mean", "avg_previous_10_terminal")
-    service = pit.rolling_mean(df, past, "carrier", *args).withColumnRenamed("rolling_mean", "avg_previous_10_service")
-    vessel = pit.most_recent(df, past, "vessel_id", *args).withColumnRenamed("most_recent", "previous_vessel_delay")
-    return df.join(terminal, "call_id", "left").join(service, "call_id", "left").join(vessel, "call_id", "left")
+    df = hold(df.join(pit.rolling_mean(df, past, "terminal_id", *args).withColumnRenamed("rolling_mean", "avg_previous_10_terminal"), "call_id", "left"))
+    df = hold(df.join(pit.rolling_mean(df, past, "carrier", *args).withColumnRenamed("rolling_mean", "avg_previous_10_service"), "call_id", "left"))
+    return hold(df.join(pit.most_recent(df, past, "vessel_id", *args).withColumnRenamed("most_recent", "previous_vessel_delay"), "call_id", "left"))
 
 
 def congestion(df: DataFrame, calls: DataFrame) -> DataFrame:
@@ -64,9 +72,10 @@ def target(df: DataFrame) -> DataFrame:
     return df.withColumn("is_delayed", F.when(F.col("arrival_delay_minutes").isNotNull(), late.cast("double")))
 
 
-def feature_table(calls: DataFrame, cranes: DataFrame, moves: DataFrame, weather: DataFrame) -> DataFrame:
-    out = temporal(planned_scope(candidates(calls), cranes, moves))
-    out = target(encoded(congestion(history(storm(out, weather), calls), calls)))
+def feature_table(calls: DataFrame, cranes: DataFrame, moves: DataFrame, weather: DataFrame, hold: Hold = as_is) -> DataFrame:
+    """hold gets the table as it grows, and may write it and read it again to keep plans small."""
+    out = hold(storm(temporal(planned_scope(candidates(calls), cranes, moves)), weather))
+    out = target(encoded(congestion(history(out, calls, hold), calls)))
     return out.select("call_id", "eta", "terminal_id", "carrier", *FEATURES, "is_delayed")
 
 

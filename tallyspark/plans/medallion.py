@@ -116,7 +116,9 @@ def write_outputs(spark: SparkSession, made: dict[str, DataFrame], folder: str,
     rows = quality_report(calls, cranes, made["call_summary"], made["daily_kpis"], feats)
     document = checks.report_document(rows, checks.details(calls, cranes), feature_nulls(feats))
     files.write_json(spark, document, f"{folder}/data_quality_report")
-    model.save_outputs(model.train(feats, features.FEATURES, "is_delayed", "eta", "call_id", trees), folder)
+    found = model.train(feats, features.FEATURES, "is_delayed", "eta", "call_id", trees)
+    model.save_outputs(found, folder)
+    model.release(found)
     return document
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, timing
 from ..operators import checks, features, gold, model, pit, silver
+from ..sources import files
 from . import medallion, port_tables
 from .port_tables import with_tables
 
@@ -392,8 +393,12 @@ def w15_m11_time_split(spark, sf_dir):
 
 @query()
 def m12_m15_models(spark, sf_dir):
-    (table,) = medallion.from_benchmark(spark, sf_dir, "features")
-    found = model.train(table, features.FEATURES, "is_delayed", "eta", "call_id")
+    layers = medallion.from_benchmark(spark, sf_dir, "silver_calls", "silver_cranes", "silver_moves", "weather")
+    calls, drop_calls = files.keep(layers[0])  # the features read it ten times
+    hold, drop_held = files.holder()
+    found = model.train(features.feature_table(calls, *layers[1:], hold), features.FEATURES, "is_delayed", "eta", "call_id")
+    for drop in (drop_calls, drop_held, lambda: model.release(found)):
+        drop()
     rows = [(name, k, float(v)) for name, m in found["metrics"].items() for k, v in m.items() if k != "confusion_matrix"]
     rows += [(name, k, float(v)) for name, m in found["metrics"].items() for k, v in zip(("tn", "fp", "fn", "tp"), sum(m["confusion_matrix"], []))]
     for r in found["importances"].collect():  # one row for each feature

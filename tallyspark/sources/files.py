@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +40,46 @@ def write_json(spark: SparkSession, document: dict, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
+
+
+#: Deletes a query's shuffle files when it ends; what it wrote doesn't need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as Parquet in spark.checkpoint.dir, so that later queries don't carry its plan, or persisted where that is unset; and what drops it again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        kept = df.persist()
+        return kept, lambda: kept.unpersist() and None
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+    def drop() -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def holder() -> tuple[Callable[[DataFrame], DataFrame], Callable[[], None]]:
+    """A function that keeps a table and drops the one that it kept before, which the new one was made from; and what drops the last."""
+    drops: list[Callable[[], None]] = []
+
+    def drop() -> None:
+        while drops:
+            drops.pop()()
+
+    def hold(df: DataFrame) -> DataFrame:
+        kept, drop_it = keep(df)
+        drop()
+        drops.append(drop_it)
+        return kept
+
+    return hold, drop
