@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,6 +61,26 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BATCH_
         yield batch.slice(at)
 
 
+#: What a Python worker keeps for later tasks of one operator.
+_held: dict[Hashable, Any] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # of glibc
+
+
+def held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's object of that name, made where there is none; what it kept for other operators goes."""
+    if name not in _held:
+        freed()
+        _held[name] = make()
+    return _held[name]
+
+
+def freed() -> None:
+    """Gives back what a worker keeps, and unused memory: Spark uses a worker for later stages too, where it would add up."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 #: Deletes a query's shuffle files when it ends; what it wrote doesn't need them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import held, small_batches
 
 MAX_FIT_DOCS = 2000
 ROUNDS = 3
@@ -190,8 +190,6 @@ BATCH_LENGTH = 40
 #: ASCII characters that are no letters, taken for spaces.
 _APART = {i: " " for i in range(128) if not chr(i).isalpha()}
 
-_scorers: dict = {}
-
 
 def words_in(text: str | None) -> list[str]:
     """A text's words in lower case, cut at ASCII characters that are no letters."""
@@ -268,10 +266,7 @@ class Scorer:
 
 def _scored(name: str, shared, texts: list) -> list[tuple[str, float]]:
     """Language and score of each text, by the worker's scorer for a broadcast model."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(*shared.value)
-    score = _scorers[name]
+    score = held(("scorer", name), lambda: Scorer(*shared.value))
     texts = [words_in(s) for s in texts]
     if score.langs:
         score.add([w for words in texts for w in words])

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, removed, sliced, written
+from .common import bounded_batches, freed, removed, sliced, written
 from .components import components
 from .units import text_hashes
 
@@ -168,6 +168,7 @@ def _keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """id, n, two hashes of each document's set, and its sketches in its own band and in the one after."""
 
     def run(batches):
+        freed()
         bands = bands_for({}, 1000, percent)
         for batch in sliced(batches):
             cols = [[] for _ in range(5)]
@@ -189,6 +190,7 @@ def _signed(docs: DataFrame, bands: list[Band], width: int, percent: int) -> Dat
     edges = np.array([b.low for b in bands])
 
     def run(batches):
+        freed()
         for batch in sliced(batches):
             sigs, counts, ids, ns, own = [], [], [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), width)):
@@ -216,6 +218,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, s): a document's set."""
 
     def run(batches):
+        freed()
         for batch in sliced(batches):
             found = [s.view(np.int64) for s in shingles(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])

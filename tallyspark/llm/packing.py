@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sliced
+from .common import bounded_batches, held, sliced
 from .units import Column, SpacedColumn, library_column
 
 CAPACITY = 2048
@@ -34,14 +34,10 @@ _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 #: Fixed value: the pre-split of byte-level tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encoders: dict = {}
-
 
 def byte_encoder(path: str) -> Column:
     """The worker's encoder (column of texts -> little-endian 32-bit ids) for a byte-level tokenizer file of the tokenizers library."""
-    if path not in _encoders:
-        _encoders[path] = library_column(SpacedColumn, path, PATTERN, lambda token: token.startswith("Ġ"), "<u4")
-    return _encoders[path]
+    return held(("byte encoder", path), lambda: library_column(SpacedColumn, path, PATTERN, lambda token: token.startswith("Ġ"), "<u4"))
 
 
 class Bins:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import freed, small_batches
 
 MAX_FIT = 6000
 HIDDEN, STEPS, RATE, DECAY = 16, 1000, 0.02, 1e-5
@@ -103,6 +103,7 @@ def _featured(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        freed()
         for batch in batches:
             rows = [features(s) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["positive", "x"])
@@ -136,6 +137,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        freed()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -153,6 +155,7 @@ def keep(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches):
+        freed()
         for batch in batches:
             if batch.num_rows:
                 x = np.array([features(s) for s in batch.column(at).to_pylist()])

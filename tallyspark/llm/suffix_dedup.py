@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import removed, small_batches, written
+from .common import freed, removed, small_batches, written
 
 LENGTH = 50
 KMER = 24
@@ -90,7 +90,7 @@ class RunLengthIndex:
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = np.frombuffer(bytes([SEPARATOR]).join([*texts, b""]), np.uint8)
         order, by_half, half = self._sorted(joined, length)
-        n = len(joined)
+        n, kind = len(joined), order.dtype
         self.length, self.sizes = length, sizes
         bwt = joined[order - 1]
         self.runs = _runs(bwt)
@@ -101,15 +101,20 @@ class RunLengthIndex:
         self.jump = np.empty(len(self.runs), np.int64)
         self.jump[by_head] = np.cumsum(lengths[by_head]) - lengths[by_head]
         self.samples = order[self.runs + lengths - 1]
-        a, b = by_half[order], by_half[np.minimum(order + (length - half), n - 1)]
         changed = np.ones(n, bool)
-        changed[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a = by_half[order]
+        changed[1:] = a[1:] != a[:-1]
+        a = by_half[np.minimum(order + kind.type(length - half), kind.type(n - 1))]
+        changed[1:] |= a[1:] != a[:-1]
+        del a, by_half
         self.starts = np.flatnonzero(changed)
         self.interval_at = _directory(self.starts, n)
-        owner = np.repeat(docs, sizes + 1)
-        self.first = np.minimum.reduceat(owner[order], self.starts)
-        row = np.empty(n, np.int64)
-        row[order] = np.arange(n)
+        known, codes = np.unique(docs, return_inverse=True)
+        owner = np.repeat(codes.astype(kind), sizes + 1)
+        self.first = known[np.minimum.reduceat(owner[order], self.starts)]
+        del owner
+        row = np.empty(n, kind)
+        row[order] = np.arange(n, dtype=kind)
         self.ends = row[np.cumsum(sizes + 1) - 1]  # the rows of the separators
 
     @staticmethod
@@ -117,34 +122,46 @@ class RunLengthIndex:
         """The suffix array by prefix doubling, and ranks by the largest power of two up to length.
 
         A suffix's rank is the first place of those that agree with it so far;
-        only suffixes that still agree with others are sorted again.
+        only suffixes that still agree with others are sorted again.  Places
+        take 32 bits where they fit, and no array outlives its use.
         """
         n = len(joined)
-        padded = np.concatenate([joined, np.zeros(8, np.uint8)]).astype(np.uint64)
+        kind = np.int32 if n < 1 << 30 else np.int64
+        padded = np.concatenate([joined, np.zeros(8, np.uint8)])
         key = np.zeros(n, np.uint64)
         for i in range(8):
-            key = (key << _M(8)) | padded[i : n + i]
-        order = np.argsort(key)
-        place, ordered = np.arange(n), key[order]  # places of the suffixes in question, and their sorted keys
-        rank, size, by_half, half = np.empty(n, np.int64), 8, None, 0
+            key <<= _M(8)
+            key |= padded[i : n + i]
+        order = np.argsort(key).astype(kind)
+        place, key = np.arange(n, dtype=kind), key[order]  # places of the suffixes in question, and their sorted keys
+        rank, size, by_half, half = np.empty(n, kind), 8, None, 0
         while True:
             new = np.ones(len(place), bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            first = np.flatnonzero(new)
-            counts = np.diff(first, append=len(place))
-            rank[order[place]] = np.repeat(place[first], counts)
+            new[1:] = key[1:] != key[:-1]
+            del key
+            run = np.cumsum(new, dtype=kind)
+            run -= 1
+            rank[order[place]] = place[new][run]
+            del run
             if size <= length:
                 by_half, half = rank.copy(), size
-            place = place[np.repeat(counts > 1, counts)]
+            again = ~new  # in a run of more than one
+            again[:-1] |= ~new[1:]
+            place = place[again]
             if not len(place) and size * 2 > length:
                 return order, by_half, half
             suffix = order[place]
-            after = suffix + size
-            key = rank[suffix] * (n + 1)
+            key = rank[suffix].astype(np.int64)
+            key *= n + 1
+            after = suffix + kind(size)
             inside = after < n
-            key[inside] += rank[after[inside]] + 1
+            key[inside] += rank[after[inside]]
+            key[inside] += 1
+            del after, inside
             by_key = np.argsort(key)
-            order[place], ordered = suffix[by_key], key[by_key]
+            key = key[by_key]
+            order[place] = suffix[by_key]
+            del by_key, suffix
             size *= 2
 
     def step(self, rows: np.ndarray) -> np.ndarray:
@@ -156,31 +173,29 @@ class RunLengthIndex:
         """For each text the runs of windows with one least document: (documents, first window, last window)."""
         texts = np.argsort(-self.sizes, kind="stable")
         rows, sizes = self.ends[texts], self.sizes[texts]
-        found = [[] for _ in texts]
-        at, doc = [], []
+        windows = np.maximum(self.sizes - self.length + 1, 0)
+        starts = np.cumsum(windows) - windows  # all texts' windows lie end to end
+        interval = np.empty(int(windows.sum()), np.int32)
         for t in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
             active = int(np.searchsorted(-sizes, -t, "right"))
             rows = self.step(rows[:active])
             if t >= self.length:
-                at.append(np.stack([texts[:active], sizes[:active] - t]))
-                doc.append(self.first[self.interval_at[rows]])
-        if not at:
-            return [(np.zeros(0, np.int64),) * 3 for _ in texts]
-        at, doc = np.concatenate(at, axis=1), np.concatenate(doc)
-        order = np.lexsort((at[1], at[0]))
-        text, window, doc = at[0][order], at[1][order], doc[order]
-        cut = np.ones(len(text), bool)
-        cut[1:] = (text[1:] != text[:-1]) | (doc[1:] != doc[:-1])
+                interval[starts[texts[:active]] + sizes[:active] - t] = self.interval_at[rows]
+        doc = self.first[interval]
+        cut = np.ones(len(doc), bool)
+        cut[1:] = doc[1:] != doc[:-1]
+        cut[starts[windows > 0]] = True
         begin = np.flatnonzero(cut)
-        last = np.append(begin[1:], len(text)) - 1
-        bounds = np.searchsorted(text[begin], np.arange(len(texts) + 1))
-        return [(doc[begin[x:y]], window[begin[x:y]], window[last[x:y]]) for x, y in zip(bounds, bounds[1:])]
+        last = np.append(begin[1:], len(doc)) - 1
+        bounds = np.searchsorted(begin, np.append(starts, len(doc)))
+        return [(doc[begin[x:y]], begin[x:y] - s, last[x:y] - s) for s, x, y in zip(starts, bounds, bounds[1:])]
 
 
 def _names(docs: DataFrame) -> DataFrame:
     """(h, doc, t): the distinct minimizers of each text t of a document."""
 
     def run(batches):
+        freed()
         for batch in batches:
             hs, ids, ts, counts = [], [], [], []
             for i, t, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -203,6 +218,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
+        freed()
         for batch in batches:
             cols = [[] for _ in range(6)]
             for i, t, text, shared in zip(*(batch.column(k) for k in range(4))):
@@ -230,6 +246,7 @@ def _indexed(distinct: DataFrame) -> DataFrame:
     """Rows (h, s, data, d), the groups of one h together, to (h, s, docs, first, last)."""
 
     def run(batches):
+        freed()
         held, size, last = [], 0, None
 
         def block():
@@ -271,6 +288,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     """Applies spans: (doc_id, n_bytes, n_removed, spans, kept, rest)."""
 
     def run(batches):
+        freed()
         for batch in batches:
             out = [[] for _ in range(5)]
             for i, text, copy, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
-from collections import Counter
+import tracemalloc
+import weakref
+from collections import Counter, namedtuple
 from fractions import Fraction
 
 import numpy as np
@@ -349,6 +351,44 @@ def test_suffix_dedup_two_texts_under_one_id(spark):
     assert got == sorted([(1, passage), (3, a), (3, b), (5, "")])
 
 
+def test_run_length_index_takes_little_memory():
+    rng = random.Random(8)
+    passages = [bytes(rng.choices(b"abcdefgh ", k=160)) for _ in range(400)]
+    texts = [p[a : a + rng.randrange(60, 130)] for p in passages for a in (0, 3, 9, 20)]
+    size = sum(map(len, texts)) + len(texts)
+    tracemalloc.start()
+    try:
+        suffix_dedup.RunLengthIndex(texts, np.arange(len(texts)) % 7).stream()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 * size
+
+
+class Frame:
+    """Stands for a frame and gives the function that a worker would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_worker_keeps_the_state_of_one_operator():
+    Model = namedtuple("Model", "value")
+    model = Model((["de", "en"], {"▁a": (0.9, 0.1), "▁b": (0.1, 0.9)}, 2))
+    assert [x[0] for x in language_id._scored("one", model, ["a", "b"])] == ["de", "en"]
+    scorer = weakref.ref(next(iter(common._held.values())))
+    language_id._scored("one", model, ["b a"])
+    assert scorer() is next(iter(common._held.values()))  # kept for the next batch
+    encoder = weakref.ref(packing.byte_encoder(_path("byte_bpe_50k.json")))
+    assert scorer() is None and packing.byte_encoder(_path("byte_bpe_50k.json")) is encoder()
+    for run in (suffix_dedup._names(Frame()), suffix_dedup._stretches(Frame()), suffix_dedup._indexed(Frame()), ngram_join._keyed(Frame(), 5, 80), ngram_join._sets(Frame(), 5)):
+        packing.byte_encoder(_path("byte_bpe_50k.json"))
+        assert not list(run(iter([]))) and not common._held
+
+
 def test_run_length_index_is_a_bwt():
     texts = [b"banana" * 12, b"bandana" * 9, b"x" * 55]
     index = suffix_dedup.RunLengthIndex(texts, np.array([5, 6, 7]))
