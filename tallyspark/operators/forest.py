@@ -4,7 +4,8 @@ Spark's own forest sums histograms of all open nodes of all trees over the
 cluster and keeps the trees in the driver; with leaves of a few rows both grow
 with rows times trees.  Here a row is a byte for each feature, equal rows are
 counted, and a task that has them grows its share of the trees level by level.
-Trees stay in the cluster.  Bootstrap (Poisson), splits
+Trees.java does so in the executors' JVMs, and scores; grow() and add_shares()
+are the same in numpy, as plain forms.  Trees stay in the cluster.  Bootstrap (Poisson), splits
 (Gini, at most maxBins bins, a sample of features for each node) and limits are
 those of Spark's classifier; trees aren't pruned.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
+from . import jvm
 
 # Workers get this module by value where they can't import it.
 _ROOT = os.path.realpath(os.path.join(os.path.dirname(__file__), "..", ".."))
@@ -222,6 +224,7 @@ class Forest(RandomForestClassifier):
         if bins > LEAF or self.getImpurity() != "gini" or not self.getBootstrap() or self.getSubsamplingRate() != 1 or self.getMinInfoGain() or self.getMinWeightFractionPerNode():
             raise ValueError("not a forest that this estimator grows")
         rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(label).cast("int").alias("y"), weight.cast("double").alias("w"))
+        rows, drop_rows = files.keep(rows)  # read four times
         classes = rows.groupBy("y").agg(F.count("*").alias("n"), F.min("w").alias("w"), F.max("w").alias("w_max"), F.max(F.size("x")).alias("width")).limit(3).collect()
         if not classes or {r.y for r in classes} - {0, 1} or any(r.w != r.w_max for r in classes):
             raise ValueError("there must be rows, of the classes 0 and 1, and one weight for each class")
@@ -232,28 +235,13 @@ class Forest(RandomForestClassifier):
         blocks = _blocks(counted, -(-sum(r.n for r in classes) // BLOCK_ROWS))
         groups = min(trees, GROUPS_PER_CORE * dataset.sparkSession.sparkContext.defaultParallelism)
 
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, group = [], None
-            for batch in batches:
-                for r in batch.to_pylist():
-                    group = r["g"]
-                    held.append((r["block"], np.frombuffer(r["k"], np.uint8).reshape(-1, width), np.frombuffer(r["y"], np.uint8), np.frombuffer(r["c"], np.uint32)))
-            held.sort(key=lambda h: h[0])
-            for tree in range(group, trees, groups) if held else ():
-                parts = []
-                for block, x, y, c in held:
-                    drawn = np.random.default_rng([seed & 0xFFFFFFFF, tree, block]).poisson(c)
-                    here = np.flatnonzero(drawn)
-                    parts.append((x[here], y[here], drawn[here].astype(float)))
-                x, y, m = (np.concatenate(p) for p in zip(*parts))
-                del parts
-                f, b, p, importance = grow(x, y, m, weights, np.random.default_rng([seed & 0xFFFFFFFF, tree]), subset, max_depth, min_rows, bins)
-                yield pa.record_batch({"tree": pa.array([tree], pa.int32()), "f": pa.array([f.tobytes()], pa.binary()), "b": pa.array([b.tobytes()], pa.binary()), "p": pa.array([p.tobytes()], pa.binary()), "importance": pa.array([importance], pa.list_(pa.float64()))})
-
         sent = blocks.crossJoin(F.broadcast(dataset.sparkSession.range(groups).select(F.col("id").cast("int").alias("g"))))
-        grown = sent.repartitionById(groups, "g").mapInArrow(fit, "tree int, f binary, b binary, p binary, importance array<double>")
+        sent = sent.repartitionById(groups, "g").select("g", "block", "k", "y", "c")
+        grower = jvm.instance(dataset.sparkSession, "Trees.java", "tallyspark.Trees$Grower").set(width, *map(float, weights), subset, max_depth, min_rows, bins, seed, trees, groups)
+        grown = jvm.map_partitions(sent, grower, "tree int, f binary, b binary, p binary, importance binary")
         grown, drop = files.keep(grown)
-        each = [np.array(r.importance) for r in grown.select("tree", "importance").orderBy("tree").collect()]  # some numbers for each tree
+        drop_rows()
+        each = [np.frombuffer(r.importance) for r in grown.select("tree", "importance").orderBy("tree").collect()]  # some numbers for each tree
         summed = sum(i / i.sum() for i in each if i.sum())
         model = ForestModel(grown.drop("importance"), cuts, trees, (summed / summed.sum()).tolist() if np.sum(summed) else [0.0] * width, drop)
         return model._set(**{n: self.getOrDefault(n) for n in ("featuresCol", "predictionCol", "probabilityCol", "rawPredictionCol")})
@@ -279,19 +267,6 @@ class ForestModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, Ha
         keyed = dataset.withColumn("_bins", binned(vector_to_array(self.getFeaturesCol()), self.cuts))
         keys = keyed.select(F.col("_bins").alias("k"), F.lit(0).alias("y"), F.lit(1).alias("c")).distinct()
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trees = []
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["block"] is None:
-                        trees.append((np.frombuffer(r["f"], np.uint8), np.frombuffer(r["b"], np.uint8), np.frombuffer(r["p"])))
-                        continue
-                    x = np.frombuffer(r["k"], np.uint8).reshape(-1, width)
-                    s = np.zeros(len(x))
-                    for t in trees:
-                        add_shares(x, t, s)
-                    yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "g": pa.array([r["g"]], pa.int32()), "k": pa.array([None if r["g"] else r["k"]], pa.binary()), "s": pa.array([s.tobytes()], pa.binary())})
-
         def total(t: pa.Table) -> pa.Table:
             t = t.sort_by("g")
             s = sum(np.frombuffer(b, np.float64) for b in t["s"].to_pylist())
@@ -303,7 +278,9 @@ class ForestModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, Ha
         sent = trees.select("g", "tree", "f", "b", "p", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("k"))
         sent = sent.unionByName(rows.select("g", "block", "k"), allowMissingColumns=True)
         sent = sent.repartitionById(groups, "g").sortWithinPartitions(F.col("block").asc_nulls_first(), "tree")
-        sums = sent.mapInArrow(score, "block long, g int, k binary, s binary").groupBy("block").applyInArrow(total, "_bins binary, _ones double")
+        scorer = jvm.instance(spark, "Trees.java", "tallyspark.Trees$Scorer").set(width)
+        scored = jvm.map_partitions(sent.select("g", "block", "k", "f", "b", "p"), scorer, "block long, g int, k binary, s binary")
+        sums = scored.groupBy("block").applyInArrow(total, "_bins binary, _ones double")
         one = F.col("_ones")
         raw = F.array(F.lit(float(self.n)) - one, one)
         out = keyed.join(sums, "_bins").withColumns({self.getRawPredictionCol(): array_to_vector(raw), self.getProbabilityCol(): array_to_vector(F.transform(raw, lambda v: v / self.n)), self.getPredictionCol(): (one > self.n - one).cast("double")})

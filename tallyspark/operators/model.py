@@ -23,7 +23,7 @@ def time_split(df: DataFrame, at: str, key: str, test_share: float = 0.2) -> tup
     """The earliest int(n * (1 - share)) rows train, the rest test; ties by key.
 
     The border is found by exact ranks within the day it falls in, after a
-    count for each day, so no task sorts all rows.
+    count for each day, so no task sorts all rows and no other day is sorted.
     """
     n = df.count()
     n_train = int(n * (1 - test_share))
@@ -37,10 +37,10 @@ def time_split(df: DataFrame, at: str, key: str, test_share: float = 0.2) -> tup
         before += r["count"]
     if border is None:
         return df, df.limit(0), {"n_train": n, "n_test": 0, "cutoff": None}
-    rank = F.row_number().over(Window.partitionBy(day).orderBy(at, key))
-    first = (day < F.lit(border)) | ((day == F.lit(border)) & (F.col("_r") <= n_train - before))
-    ranked = df.withColumn("_r", rank)
-    train, test = ranked.where(first).drop("_r"), ranked.where(~first).drop("_r")
+    last = df.where(day == F.lit(border)).withColumn("_r", F.row_number().over(Window.partitionBy(day).orderBy(at, key)))
+    inside = F.col("_r") <= n_train - before
+    train = df.where(day < F.lit(border)).unionByName(last.where(inside).drop("_r"))
+    test = df.where(day > F.lit(border)).unionByName(last.where(~inside).drop("_r"))
     return train, test, {"n_train": n_train, "n_test": n - n_train, "cutoff": str(test.agg(F.min(at)).first()[0])}
 
 

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest_before(candidates: DataFrame, history: DataFrame, group: str, key: str, at: str, happened: str, value: str, n: int) -> DataFrame:
-    """(key, hist_value, recency): for each candidate the n newest history rows with happened < at, itself left out.
+#: Numbers of a group's history rows whose last values are put together by one task.
+RUN = 10_000
+
+
+def _newest(candidates: DataFrame, history: DataFrame, group: str, key: str, at: str, happened: str, value: str, n: int) -> DataFrame:
+    """(k, newest): for each candidate with history the n newest rows (hks, vs: id, value) with happened < at, itself left out, as an array.
 
-    History rows are numbered in their group; a running count over candidates
-    and history together says how many precede each candidate; an equi join on
-    (group, number) fetches the last n + 1 of them.  Ties go to the lesser key
-    first.  Groups are split by bins of time; sizes are in proportion to the input.
+    History rows are numbered in their group and carry the n before them; a
+    running count over candidates and history together says how many precede
+    each candidate; an equi join on (group, number) fetches the last of them.
+    Ties go to the lesser key first.  Groups are split by bins of time, then by
+    runs of numbers that begin with the last n of the run before; sizes are in
+    proportion to the input.  Candidates' ids are unique.
     """
     hist = history.where(F.col(happened).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("hk"), F.col(happened).alias("t"), F.col(value).alias("v"))
     ranked = hist.where("g IS NOT NULL").withColumn("m", _micros("t"))
@@ -21,23 +27,37 @@ def newest_before(candidates: DataFrame, history: DataFrame, group: str, key: st
     sizes = cut.groupBy("g", "_bin").agg(F.count("*").alias("_n"))
     earlier = sizes.withColumn("_n", F.coalesce(F.sum("_n").over(Window.partitionBy("g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = cut.withColumn("seq", F.row_number().over(inside)).join(earlier, ["g", "_bin"]).select("g", "hk", "v", (F.col("seq") + F.col("_n")).alias("seq"))
+    size = max(RUN, n)
+    run, place = F.floor((F.col("seq") - 1) / size), F.pmod(F.col("seq") - 1, F.lit(size))
+    runs = F.when(place >= size - n, F.array(run, run + 1)).otherwise(F.array(run))
+    order = Window.partitionBy("g", "_run").orderBy("seq")
+    back = lambda c: F.array(F.col(c), *(F.lag(c, i).over(order) for i in range(1, n + 1)))
+    carried = numbered.withColumn("_run", F.explode(runs)).withColumns({"hks": back("hk"), "vs": back("v")}).where(F.col("_run") == run).select("g", "seq", "hks", "vs")
     cand = candidates.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(at).alias("t"))
     both = cand.select("g", "k", "t", F.lit(0).alias("is_hist")).unionAll(hist.select("g", F.lit(None).alias("k"), "t", F.lit(1).alias("is_hist")))
     both = both.where("g IS NOT NULL AND t IS NOT NULL").select("g", "k", _micros("t").alias("t"), "is_hist", F.col("is_hist").cast("long").alias("cnt"))
     counted = running(both, "g", "t", "is_hist", "cnt").where("is_hist = 0 AND cnt > 0")
-    slots = counted.select("g", "k", F.explode(F.sequence(F.greatest(F.col("cnt") - n, F.lit(1)), F.col("cnt"))).alias("seq"))
-    met = slots.join(numbered, ["g", "seq"]).where("hk <> k")
-    recency = F.row_number().over(Window.partitionBy("k").orderBy(F.col("seq").desc()))
-    return met.withColumn("recency", recency).where(F.col("recency") <= n).select(F.col("k").alias(key), F.col("v").alias("hist_value"), "recency")
+    met = counted.select("g", "k", F.col("cnt").alias("seq")).join(carried, ["g", "seq"])
+    others = F.filter(F.arrays_zip("hks", "vs"), lambda h: h["hks"] != F.col("k"))
+    return met.select("k", F.slice(others, 1, n).alias("newest")).where(F.size("newest") > 0)
+
+
+def newest_before(candidates: DataFrame, history: DataFrame, group: str, key: str, at: str, happened: str, value: str, n: int) -> DataFrame:
+    """(key, hist_value, recency): for each candidate the n newest history rows with happened < at, itself left out."""
+    found = _newest(candidates, history, group, key, at, happened, value, n).select("k", F.posexplode("newest").alias("at", "h"))
+    return found.select(F.col("k").alias(key), F.col("h.vs").alias("hist_value"), (F.col("at") + 1).alias("recency"))
 
 
 def rolling_mean(candidates: DataFrame, history: DataFrame, group: str, key: str, at: str, happened: str, value: str, n: int = 10) -> DataFrame:
     """Mean of the n newest values; a NULL value takes a place and doesn't count."""
-    return newest_before(candidates, history, group, key, at, happened, value, n).groupBy(key).agg(F.avg("hist_value").alias("rolling_mean"))
+    found = _newest(candidates, history, group, key, at, happened, value, n)
+    known = found.select("k", F.filter(F.transform("newest", lambda h: h["vs"].cast("double")), lambda v: v.isNotNull()).alias("known"))
+    mean = F.when(F.size("known") > 0, F.aggregate("known", F.lit(0.0), lambda a, v: a + v) / F.size("known"))
+    return known.select(F.col("k").alias(key), mean.alias("rolling_mean"))
 
 
 def most_recent(candidates: DataFrame, history: DataFrame, group: str, key: str, at: str, happened: str, value: str) -> DataFrame:
-    return newest_before(candidates, history, group, key, at, happened, value, 1).select(key, F.col("hist_value").alias("most_recent"))
+    return _newest(candidates, history, group, key, at, happened, value, 1).select(F.col("k").alias(key), F.col("newest")[0]["vs"].alias("most_recent"))
 
 
 #: Microseconds of the bins of time that a group's running totals are split by.

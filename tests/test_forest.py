@@ -139,3 +139,47 @@ def test_one_class(spark):
     fitted = small().fit(df)
     assert fitted.transform(df).where("prediction = 0").count() == df.count()
     assert isinstance(small(), Pipeline) and list(fitted.stages[-1].featureImportances) == [0, 0, 0]
+
+
+@pytest.mark.parametrize("width", [3, 11])
+def test_every_split_of_a_compiled_tree_is_the_best_one(spark, width):
+    """Each node sees all features; bins go up to 254, and rows span words."""
+    rng = np.random.default_rng(4)
+    for bins, depth in ((32, 30), (255, 4)):
+        x = rng.integers(0, bins, (600, width)).astype(np.uint8)
+        y = ((x[:, width - 1] > bins // 3) ^ (rng.random(600) < 0.3)).astype(np.uint8)
+        m = rng.integers(1, 4, 600)
+        made = forest.jvm.instance(spark, "Trees.java", "tallyspark.Trees$Grower").set(width, *map(float, WEIGHTS), width, depth, 10, bins, 42, 1, 1)
+        f, b, p, importance = map(bytes, made.grown(*(bytearray(a.tobytes()) for a in (x, y, m.astype(np.int32))), 7))
+        inside, level, shares, expected = [np.arange(600)], [0], iter(np.frombuffer(p)), np.zeros(width)
+        for node, (feature, cut) in enumerate(zip(f, b)):
+            rows, at = inside[node], level[node]
+            t = counts(y[rows], m[rows])
+            best = max(gain_of(x[rows], y[rows], m[rows], g, c) for g in range(width) for c in range(bins - 1))
+            if feature == forest.LEAF:
+                assert best <= 1e-12 or at == depth
+                assert next(shares) == pytest.approx((t * WEIGHTS)[1] / (t * WEIGHTS).sum())
+                continue
+            assert gain_of(x[rows], y[rows], m[rows], feature, cut) == pytest.approx(best) and at < depth
+            expected[feature] += best * (t * WEIGHTS).sum()
+            left = x[rows, feature] <= cut
+            inside += [rows[left], rows[~left]]
+            level += [at + 1, at + 1]
+        assert len(inside) == len(f) > 10 and next(shares, None) is None
+        assert np.frombuffer(importance) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("mean", [1, 3, 100])
+def test_bootstrap_is_poisson(spark, mean):
+    poisson, rng = forest.jvm.instance(spark, "Trees.java", "tallyspark.Trees$Poisson"), spark._jvm.java.util.SplittableRandom(5)
+    n = np.array([poisson.draw(rng, mean) for _ in range(3000)])
+    assert n.mean() == pytest.approx(mean, rel=0.08) and n.var() == pytest.approx(mean, rel=0.15)
+
+
+def test_trees_are_grown_without_python_rows(spark, monkeypatch):
+    """A numpy tree over a 1 GB table's rows takes many times as long as the compiled one."""
+    monkeypatch.setattr(forest, "grow", None)
+    monkeypatch.setattr(forest, "add_shares", None)
+    df = table(spark, 300)
+    fitted = small(3).fit(df)
+    assert fitted.transform(df).count() == 300 and fitted.stages[-1].trees.count() == 3

@@ -85,3 +85,22 @@ def test_look_back_takes_itself_off(spark):
     )
     got = {r.k: (r.n_past, r.v, r.v_n) for r in pit.look_back(calls, calls, "g", "k", "at", "done", 90, v=F.col("v")).collect()}
     assert got == {2: (1, 3.0, 1), 3: (2, 8.0, 2)}
+
+
+def test_newest_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(pit, "RUN", 12)
+    test_newest_before(spark, 3)
+
+
+def test_newest_does_not_multiply_candidates(spark):
+    df = spark.createDataFrame(rows(1), SCHEMA)
+    plan = pit.rolling_mean(df, df, "g", "k", "eta", "atd", "v", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # a row for each of the last ten
+
+
+def test_split_ranks_one_day_only(spark):
+    df = spark.createDataFrame(rows(5), SCHEMA)
+    for part in model.time_split(df, "eta", "k")[:2]:
+        lines = part._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        at = next(i for i, line in enumerate(lines) if "Window" in line)
+        assert any("Filter" in line and " = " in line for line in lines[at:])
